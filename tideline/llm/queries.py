@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_cnn
-from .common import mod_of_id, table
+from . import bpe, langid_cnn, packing, winnow
+from .common import mod_of_id, partitions, table
+
+
+def byte_bpe() -> str:
+    """The public byte-level vocabulary; every operator takes its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), window=2048, end_id=1)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_neighbours(table(spark, sf_dir, "documents"), max(8, partitions(spark)))
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +37,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_language_id": op10_language_id}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_language_id": op10_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
