@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid_cnn, packing, winnow
+from . import bagminhash, bpe, langid_cnn, packing, vptree, winnow
 from .common import mod_of_id, partitions, table
 
 
@@ -30,6 +30,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_neighbours(table(spark, sf_dir, "documents"), max(8, partitions(spark)))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_language_id": op10_language_id,
 }
