@@ -63,7 +63,7 @@ class _Seen(dict):
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -146,10 +146,12 @@ def codec(path: str) -> Codec:
 
 
 def encoded(frames: Iterator, path: str) -> Iterator:
-    """(frame, ids of each text) for each Arrow batch of a task."""
+    """(frame, ids of each text) for each 256 rows of a task, so that few ids are held at once."""
     c = codec(path)
     for frame in frames:
-        yield frame, [c.encode(t) for t in frame["text"]]
+        for at in range(0, len(frame), 256):
+            part = frame.iloc[at : at + 256]
+            yield part, [c.encode(t) for t in part["text"]]
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -158,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id") -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ids in encoded(frames, path):
-            yield pd.DataFrame({id_column: frame[id_column], "ids": [i.astype("i4") for i in ids]})
+            yield pd.DataFrame({id_column: frame[id_column].to_numpy(), "ids": [i.astype("i4") for i in ids]})
 
     return docs.select(id_column, "text").mapInPandas(run, f"{id_column} {kind}, ids array<int>")
 
@@ -183,6 +185,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for frame, ids in encoded(frames, path):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(i) for i in ids], "ids_sha256": [sha(c.joined(i)) for i in ids], "decoded_sha256": [sha(c.decode(i)) for i in ids]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_tokens": [len(i) for i in ids], "ids_sha256": [sha(c.joined(i)) for i in ids], "decoded_sha256": [sha(c.decode(i)) for i in ids]})
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
