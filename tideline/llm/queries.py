@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid_cnn, packing, vptree, winnow
+from . import bagminhash, bpe, langid_cnn, packing, suffix_dedup, vptree, winnow
 from .common import mod_of_id, partitions, table
 
 
@@ -39,6 +39,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = mod_of_id("doc_id", 5) == 0
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
