@@ -36,6 +36,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(path)
 
 

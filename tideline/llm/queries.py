@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid_cnn, packing, suffix_dedup, vptree, winnow
+from . import bagminhash, bpe, langid_cnn, packing, pst, suffix_dedup, vptree, winnow
 from .common import mod_of_id, partitions, table
 
 
@@ -18,6 +18,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents"), mod_of_id("doc_id", 10) != 0)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), least=0.8, size=5)
 
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
