@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid_cnn, packing, pst, suffix_dedup, vptree, winnow
-from .common import mod_of_id, partitions, table
+from . import bagminhash, bpe, chat_hmm, langid_cnn, packing, pst, secrets_forest, suffix_dedup, vptree, winnow
+from .common import materialize, mod_of_id, partitions, table
 
 
 def byte_bpe() -> str:
@@ -34,6 +34,20 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_neighbours(table(spark, sf_dir, "documents"), max(8, partitions(spark)))
 
 
+def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations become raw logs; roles are learned on four fifths of them and recovered in all."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat_hmm.as_log(own)
+    model = chat_hmm.fit(log.where(mod_of_id("conv_id", 5) != 0))
+    return chat_hmm.rendered(chat_hmm.recover(log, model)).select("conv_id", "turn", "part", "role", "rendered")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(secrets_forest.findings(table(spark, sf_dir, "documents")), "findings")
+    kept = secrets_forest.secrets(found)
+    return kept.select("doc_id", F.col("at").alias("word_index"), F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability")
+
+
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
@@ -59,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_chat_turns": op5_chat_turns,
+    "op6_secrets": op6_secrets,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_repeated_passages": op9_repeated_passages,
