@@ -436,3 +436,21 @@ def repeats(docs: DataFrame, length: int = 400, most: int = 20_000) -> DataFrame
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 400, most: int = 20_000) -> DataFrame:
+    """docs with repeated passages taken out of text (a character cut in two goes whole); other columns stay."""
+    cut = _left_texts(removals(docs, length, most))
+    keyed = docs.withColumn("ck", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    copies = keyed.groupBy("ck").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    joined = keyed.join(copies, "ck", "left").join(cut, "ck", "left")
+    gone = F.col("n_copies").isNotNull() & (F.octet_length("text") >= length)
+    return joined.withColumn("text", F.when(gone, F.lit("")).otherwise(F.coalesce("left_text", "text"))).select(*docs.columns)
+
+
+def _left_texts(marked: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"ck": frame["ck"], "left_text": [k.decode("utf-8", "ignore") for k in frame["kept"]]})
+
+    return cut_texts(marked).select("ck", "kept").mapInPandas(run, "ck binary, left_text string").dropDuplicates(["ck"])
