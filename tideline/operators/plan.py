@@ -18,10 +18,9 @@ ORDERS = {
 
 
 def by_key(key: Column, values: dict, default) -> Column:
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The value of a key in a small table, else the default."""
+    table = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))
 
 
 def units_of(x: Column, market: Column, cfg: dict) -> Column:

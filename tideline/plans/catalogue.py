@@ -318,9 +318,9 @@ def _(s, d):
     return rounded(crosssection.breadth(bars(s, d).withColumn("sma50", indicators.sma(F.col("close"), 50))), ["date"], breadth=6)
 
 
-@query("regime_components", f"WITH {BARS}, {REGIME} SELECT date, round(sma200, 6) AS sma200, round(rv, 6) AS rv, round(rv_pct, 6) AS rv_pct, trend200, slope50, above50, vol, breadth FROM reg")
+@query("regime_components", f"WITH {BARS}, {REGIME} SELECT date, round(close / sma200, 6) AS over200, round(rv, 6) AS rv, round(rv_pct, 6) AS rv_pct, trend200, slope50, above50, vol, breadth FROM reg")
 def _(s, d):
-    return regimes(s, d).select("date", F.round("sma200", 6).alias("sma200"), F.round("rv", 6).alias("rv"), F.round("rv_pct", 6).alias("rv_pct"), "trend200", "slope50", "above50", "vol", "breadth")
+    return regimes(s, d).select("date", F.round(F.col("close") / F.col("sma200"), 6).alias("over200"), F.round("rv", 6).alias("rv"), F.round("rv_pct", 6).alias("rv_pct"), "trend200", "slope50", "above50", "vol", "breadth")
 
 
 @query("regime_label", f"WITH {BARS}, {REGIME} SELECT date, round(score, 6) AS score, regime FROM reg")
@@ -353,7 +353,7 @@ def _w(g: str) -> str:
     return "CASE regime " + " ".join(f"WHEN '{r}' THEN {float(w[i])}" for r, w in CFG["weights"].items()) + " END"
 
 
-COMP = f"{ZED}, {REGIME}, cmp AS (SELECT grp.*, coalesce(regime, 'NEUTRAL') AS regime, {_mean_sql([(f'g_{g}', '(' + _w(g) + ')') for g in LITE_FACTORS])} AS composite FROM grp LEFT JOIN (SELECT date, regime FROM reg) USING (date))"
+COMP = f"{ZED}, {REGIME}, rd AS (SELECT date, coalesce(last_value(regime IGNORE NULLS) OVER (ORDER BY date), first_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'NEUTRAL') AS regime FROM (SELECT DISTINCT date FROM bars) LEFT JOIN (SELECT date, regime FROM reg) USING (date)), cmp AS (SELECT grp.*, coalesce(regime, 'NEUTRAL') AS regime, {_mean_sql([(f'g_{g}', '(' + _w(g) + ')') for g in LITE_FACTORS])} AS composite FROM grp LEFT JOIN rd USING (date))"
 COMP += ", crk AS (SELECT *, CASE WHEN composite IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY composite NULLS LAST) + (count(*) OVER (PARTITION BY date, composite) - 1) / 2.0) / count(composite) OVER (PARTITION BY date) END AS comp_rank FROM cmp)"
 
 
@@ -407,13 +407,13 @@ def _(s, d):
 
 # -- setups and plans
 
-STATE = f"""{KELT.replace(' FROM m)', ' FROM m)')}, s0 AS (SELECT *, {roll('avg', 'close', 50)} AS sma50, {_prior('max', 'high', 20)} AS donch20_hi, {_prior('max', 'high', 55)} AS donch55_hi, {roll('min', 'low', 10, 5)} AS swing_low10,
+STATE = f"""{KELT}, s0 AS (SELECT *, {roll('avg', 'close', 50)} AS sma50, {_prior('max', 'high', 20)} AS donch20_hi, {_prior('max', 'high', 55)} AS donch55_hi, {roll('min', 'low', 10, 5)} AS swing_low10,
  ({roll('avg', 'volume', 5)}) / nullif({roll('avg', 'volume', 50, 20)}, 0) AS rvol, (close - low) / nullif(high - low, 0) AS cr, close / ({roll('max', 'high', 252, 120)}) AS pct_52w_high, close / {_lag(126)} - 1 AS mom_6m, {roll('avg', 'close * volume', 20, 10)} AS adv20,
  (close - ema21) / nullif(atr14, 0) AS d21, {_RSI14} AS rsi14, {_RSI2} AS rsi2 FROM kc),
- s1 AS (SELECT *, {roll('avg', 'cr', 3, 1)} AS cr3, sma200 IS NOT NULL AND close > sma200 AND coalesce(ema21 > ema50, false) AS up, sma200 IS NOT NULL AND close > sma200 AS above FROM s0),
- st AS (SELECT *, CASE WHEN up AND close > donch20_hi AND coalesce(rvol, 1) >= 1.2 AND coalesce(cr, 0) >= 0.5 THEN 'Breakout' WHEN up AND bb_up < kc_up AND bb_lo > kc_lo AND abs(d21) <= 1 THEN 'Squeeze (pre-breakout)'
- WHEN up AND d21 BETWEEN -1.5 AND 0.75 AND rsi14 BETWEEN 35 AND 60 THEN 'Pullback in uptrend' WHEN above AND rsi2 <= 10 AND close >= 0.97 * sma50 THEN 'Mean-reversion bounce'
- WHEN up AND pct_52w_high >= 0.93 AND mom_6m > 0.10 THEN CASE WHEN d21 <= 2 THEN 'Momentum continuation' ELSE 'Extended (wait)' END WHEN up AND d21 > 2 THEN 'Extended (wait)'
+ s1 AS (SELECT *, {roll('avg', 'cr', 3, 1)} AS cr3, sma200 IS NOT NULL AND close > sma200 AND coalesce(ema21 > ema50, false) AS is_up, sma200 IS NOT NULL AND close > sma200 AS above FROM s0),
+ st AS (SELECT *, CASE WHEN is_up AND close > donch20_hi AND coalesce(rvol, 1) >= 1.2 AND coalesce(cr, 0) >= 0.5 THEN 'Breakout' WHEN is_up AND bb_up < kc_up AND bb_lo > kc_lo AND abs(d21) <= 1 THEN 'Squeeze (pre-breakout)'
+ WHEN is_up AND d21 BETWEEN -1.5 AND 0.75 AND rsi14 BETWEEN 35 AND 60 THEN 'Pullback in uptrend' WHEN above AND rsi2 <= 10 AND close >= 0.97 * sma50 THEN 'Mean-reversion bounce'
+ WHEN is_up AND pct_52w_high >= 0.93 AND mom_6m > 0.10 THEN CASE WHEN d21 <= 2 THEN 'Momentum continuation' ELSE 'Extended (wait)' END WHEN is_up AND d21 > 2 THEN 'Extended (wait)'
  WHEN NOT above AND rsi14 <= 30 AND coalesce(cr3, 0) >= 0.6 THEN 'Counter-trend bounce' ELSE 'No clean setup' END AS setup FROM s1)"""
 
 
