@@ -13,9 +13,16 @@ only until it is later than the latest component found so far.
 Candidates share a band of `rows` components. Links are verified by exact
 multiset overlap, so signatures only decide which pairs are looked at. Within a
 bucket, members are compared with leaders, not each with each: those that link
-to a leader join its class, and further leaders (twice as many each round) are
-compared only with members of other classes, until no bucket holds two members
-of different classes that were not compared. Classes are connected components.
+to a leader join its class, and further leaders (more each round) are compared
+only with members of other classes, until no bucket holds two members of
+different classes that were not compared. Classes are connected components.
+
+Before that, shingles that only one member has bound what it can share: of two
+texts with sizes x, y and such own weight u, v the overlap is at most
+m = min(x-u, y-v), the index at most m / (x+y-m). Pairs below the threshold by
+this bound are no links, members that can have no partner leave their buckets,
+and those with the least own weight lead: in a family of copies that differ
+each in its own way, that is the one closest to the original.
 
 Defined cases: null text counts as empty. Texts with the same multiset of
 shingles (repeated rows, texts without any words) are one class. Rows with a
@@ -154,6 +161,21 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = materialize(labels.join(moves, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
+def own_weight(contents: DataFrame) -> DataFrame:
+    """(node, size, own): total weight, and the weight of the shingles that no other member has."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = [len(b) // 12 for b in frame["bag"]]
+            yield pd.DataFrame({"node": frame["node"], "shingle": [np.frombuffer(b, "<i8", k) for b, k in zip(frame["bag"], n)], "weight": [np.frombuffer(b, "<u4", offset=8 * k).astype("i4") for b, k in zip(frame["bag"], n)]})
+
+    lists = contents.mapInPandas(run, "node binary, shingle array<long>, weight array<int>")
+    each = lists.select(F.xxhash64("node").alias("id"), F.explode(F.arrays_zip("shingle", "weight")).alias("s")).select("id", "s.shingle", "s.weight")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1").groupBy("id").agg(F.sum("weight").alias("own"))
+    total = lists.select("node", F.xxhash64("node").alias("id"), F.aggregate("weight", F.lit(0).cast("long"), lambda a, w: a + w).alias("size"))
+    return total.join(alone, "id", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
     """(doc_id, class_id, class_size), a row for each row of docs."""
     own = materialize(signed(docs, size, bands, rows), "signed")
@@ -164,23 +186,28 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 32,
     members = buckets.select("node", "rep").distinct()
     wanted = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     contents = materialize(bags(wanted, size).dropDuplicates(["node"]).join(members.select("node"), "node", "left_semi"), "bags")
-    labels = materialize(members.select("node", F.col("node").alias("comp")), "labels")
+    weights = own_weight(contents).where(F.col("size") - F.col("own") >= least * F.col("size"))
+    buckets = materialize(buckets.select("bucket", "node").join(weights, "node"), "members")
+    labels = materialize(buckets.select("node", F.col("node").alias("comp")).distinct(), "labels")
     leaders, led = 1, None
     while True:
         open_ = buckets.join(labels, "node")
         if led is not None:
             open_ = open_.join(led, ["bucket", "node"], "left_anti")
         mixed = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-        open_ = materialize(open_.join(mixed, "bucket").select("bucket", "node", "comp"), "open")
+        open_ = materialize(open_.join(mixed, "bucket"), "open")
         if open_.isEmpty():
             break
-        first = open_.groupBy("bucket").agg(F.min("node").alias("node")) if leaders == 1 else open_.withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).where(F.col("nth") <= leaders).select("bucket", "node")
-        first = materialize(first.join(open_, ["bucket", "node"]).select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")), "leaders")
-        pairs = open_.withColumnRenamed("node", "b").join(first, "bucket").where("comp <> comp_a").select("a", "b").distinct()
+        order = W.partitionBy("bucket").orderBy(F.col("own") / F.col("size"), "node")
+        first = open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
+        first = materialize(first.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), F.col("own").alias("own_a")), "leaders")
+        most = F.least(F.col("size") - F.col("own"), F.col("size_a") - F.col("own_a"))
+        may = (F.col("comp") != F.col("comp_a")) & (most >= least * (F.col("size") + F.col("size_a") - most) - 1e-6)
+        pairs = open_.withColumnRenamed("bucket", "k").join(first, (F.col("k") == F.col("bucket")) & may).select("a", F.col("node").alias("b")).distinct()
         labels = components(labels, materialize(verified(pairs, contents, least), "links"))
         now = first.select("bucket", F.col("a").alias("node"))
         led = now if led is None else led.unionByName(now)
-        leaders *= 2
+        leaders *= 8
     named = own.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(ids, "comp").select("doc_id", "class_id", "class_size")
