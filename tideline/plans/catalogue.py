@@ -459,3 +459,225 @@ def _(s, d):
 @query("eligibility", f"{PLAN} SELECT ticker, date, kind IN ('breakout', 'squeeze', 'pullback', 'bounce', 'momentum') AND coalesce(adv20 >= 2000000, false) AND close >= 5 AND r IS NOT NULL AS eligible FROM p5")
 def _(s, d):
     return planned(s, d).select("ticker", "date", "eligible")
+
+
+# -- portfolio
+
+STATES = [("us", "RISK_ON", 1.8), ("uae", "NEUTRAL", 0.5), ("crypto", "RISK_OFF", None)]
+
+
+@query("sleeves", """WITH s(market, regime, base, rm, im, mm) AS (VALUES ('us', 'RISK_ON', 0.5, 1.0, 1.0, 1.0), ('uae', 'NEUTRAL', 0.2, 0.7, 0.6, 0.85), ('crypto', 'RISK_OFF', 0.3, 0.35, 0.4, 0.9))
+ SELECT market, round(CAST(20000 * base * rm * im * mm AS DOUBLE), 4) AS budget FROM s""")
+def _(s, d):
+    states = s.createDataFrame(STATES, "market string, regime string, ic_t double")
+    return rounded(plan.market_sleeves(states, CFG, oil_bull=False, dollar_strong=True), ["market"], budget=4)
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    """Each brand's last row as a candidate: conviction by its place in the alphabet, sector by its last digit."""
+    rows = crosssection.latest(planned(s, d)).where("r is not null")
+    number = F.regexp_extract("ticker", "([0-9]+)", 1).cast("int")
+    return rows.withColumns({"conviction": (number * 7 % 50 + 40).cast("double"), "sector": F.concat(F.lit("s"), (number % 3).cast("string")), "veto": F.lit(False), "earnings_flag": F.lit(""), "eligible": number % 4 != 0, "free": F.lit(9000.0), "live": F.lit(None).cast("double")})
+
+
+CANDS = PLAN.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """, c0 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS nn, max(date) OVER () AS newest FROM p5),
+ c1 AS (SELECT *, CAST(regexp_extract(ticker, '([0-9]+)', 1) AS INT) AS num FROM c0 WHERE nn = 1 AND newest - date <= 7 AND r IS NOT NULL), c2 AS (SELECT *, CAST(num * 7 % 50 + 40 AS DOUBLE) AS conviction, 100 * atr14 / close AS atr_pct FROM c1),
+ w0 AS (SELECT *, 1 / greatest(atr_pct, 0.5) * pow(greatest(0.5, least(2.0, conviction / 50)), 0.5) AS w FROM c2), w1 AS (SELECT *, 9000 * w / sum(w) OVER () AS aed, least(5000, 20000 * 1.0 / 100 / ((entry - stop) / entry)) AS cap FROM w0),
+ w2 AS (SELECT *, sum(greatest(aed - cap, 0)) OVER () AS spill, greatest(cap - aed, 0) AS room FROM w1), w3 AS (SELECT *, least(aed, cap) + CASE WHEN room > 0 AND spill > 0 THEN least(room, spill * room / sum(room) OVER ()) ELSE 0 END AS aed2 FROM w2)"""
+
+
+@query("sleeve_weights", f"{CANDS} SELECT ticker, round(aed, 4) AS aed FROM w1")
+def _(s, d):
+    return rounded(plan.sleeve_weights(candidates(s, d), CFG), ["ticker"], aed=4)
+
+
+@query("spill_caps", f"{CANDS} SELECT ticker, round(aed2, 4) AS aed FROM w3")
+def _(s, d):
+    return rounded(plan.capped(plan.sleeve_weights(candidates(s, d), CFG), CFG), ["ticker"], aed=4)
+
+
+ACCOUNT = f"""{CANDS}, x0 AS (SELECT *, floor(aed2 / 3.6725 / entry * 10000) / 10000 AS u FROM w3), x1 AS (SELECT *, u * (entry - stop) * 3.6725 AS risk, row_number() OVER (ORDER BY conviction DESC, ticker) AS place FROM x0 WHERE u > 0),
+ x2 AS (SELECT *, sum(risk) OVER () AS heat FROM x1 WHERE place <= 8), x3 AS (SELECT *, CASE WHEN heat > 1000 THEN floor(u * (1000 / heat) * 10000) / 10000 ELSE u END AS u2 FROM x2)"""
+
+
+def account(s: SparkSession, d: str) -> DataFrame:
+    return plan.account_limits(plan.positions(plan.capped(plan.sleeve_weights(candidates(s, d), CFG), CFG), CFG), CFG)
+
+
+@query("account_limits", f"{ACCOUNT} SELECT ticker, round(u2, 4) AS units, round(u2 * entry * 3.6725, 2) AS aed, round(u2 * (entry - stop) * 3.6725, 2) AS risk_aed FROM x3 WHERE u2 > 0")
+def _(s, d):
+    return rounded(account(s, d), ["ticker"], units=4, aed=2, risk_aed=2)
+
+
+@query("portfolio_sigma", f"""{ACCOUNT}, h AS (SELECT ticker, u2 * entry * 3.6725 AS aed, u2 * (entry - stop) * 3.6725 AS risk FROM x3 WHERE u2 > 0),
+ rt AS (SELECT ticker, date, close / nullif(lag(close) OVER ({O}), 0) - 1 AS ret, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars), j AS (SELECT * FROM rt JOIN h USING (ticker) WHERE back <= 60),
+ pn AS (SELECT date, sum(aed * ret) AS pnl FROM j WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM j))
+ SELECT (SELECT count(*) FROM h) AS n_positions, round((SELECT sum(aed) FROM h), 2) AS deployed_aed, round((SELECT sum(risk) FROM h), 2) AS heat_aed, round(stddev_samp(pnl), 3) AS one_day_sigma_aed FROM pn""")
+def _(s, d):
+    return rounded(plan.portfolio_risk(account(s, d), crosssection.last_returns(source.brand_bars(s, d)), CFG), ["n_positions"], deployed_aed=2, heat_aed=2, one_day_sigma_aed=3)
+
+
+@query("portfolio_greedy")
+def _(s, d):
+    corr = crosssection.correlations(crosssection.last_returns(source.brand_bars(s, d)))
+    return plan.select_portfolio(candidates(s, d), corr, CFG).select("ticker", "conviction", "selected", "skip_reason")
+
+
+@query("sleeve_picks")
+def _(s, d):
+    corr = crosssection.correlations(crosssection.last_returns(source.brand_bars(s, d)))
+    budgets = s.createDataFrame([("brand", 9000.0)], "market string, free double")
+    return plan.sleeve_picks(candidates(s, d).drop("free"), budgets, corr, CFG).select("ticker", "conviction", "free")
+
+
+@query("holdings_review", f"""{CANDS}, h(ticker, units, entry0, stop0) AS (VALUES ('Brand#11', 2.0, 20000.0, NULL), ('Brand#12', 1.0, 90000.0, 95000.0), ('Brand#13', 3.0, 30000.0, 100.0), ('nothing', 1.0, 5.0, NULL)),
+ k AS (SELECT h.ticker, units0, entry0, c2.close AS price, coalesce(stop0, entry0 - 2 * atr14) AS st, CASE WHEN sma200 IS NOT NULL THEN sma200 < close AND coalesce(ema21 > ema50, false) END AS up1, num, conviction FROM (SELECT ticker, units AS units0, entry0, stop0 FROM h) h LEFT JOIN c2 ON c2.ticker = h.ticker)
+ SELECT ticker, CASE WHEN price IS NULL THEN 'REVIEW' WHEN coalesce(price <= st, false) THEN 'EXIT' WHEN NOT coalesce(up1, true) THEN 'EXIT' WHEN num % 4 <> 0 AND conviction >= 60 THEN 'HOLD / ADD' ELSE 'HOLD' END AS action, round(coalesce(units0 * price * 3.6725, 0), 2) AS value_aed, round(100 * (price / entry0 - 1), 4) AS pnl_pct FROM k""")
+def _(s, d):
+    held = s.createDataFrame([("brand", "Brand#11", 2.0, 20000.0, None), ("brand", "Brand#12", 1.0, 90000.0, 95000.0), ("brand", "Brand#13", 3.0, 30000.0, 100.0), ("brand", "nothing", 1.0, 5.0, None)], "market string, ticker string, units double, entry double, stop double")
+    return rounded(plan.holdings_review(held, candidates(s, d), CFG), ["ticker", "action"], value_aed=2, pnl_pct=4)
+
+
+@query("kelly", "SELECT l_linenumber AS k, round(CASE WHEN b > 0 AND p > 0 THEN greatest(0, p - (1 - p) / b) END, 6) AS f FROM (SELECT l_linenumber, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS p, avg(l_tax) / abs(avg(l_discount)) AS b FROM lineitem GROUP BY 1)")
+def _(s, d):
+    rows = source.table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg((F.col("l_discount") > 0.04).cast("double")).alias("p"), F.avg("l_tax").alias("w"), F.avg("l_discount").alias("l"))
+    return rows.select("k", F.round(plan.kelly(F.col("p"), F.col("w"), F.col("l")), 6).alias("f"))
+
+
+# -- simulation
+
+
+def simulated(s: SparkSession, d: str) -> DataFrame:
+    """The light panel with what a simulation needs; the 21-bar mean stands in where a trend is asked for."""
+    rows = featured(s, d).select("market", "ticker", "date", "open", "low", "atr", "uptrend")
+    return lite_scored(s, d).join(rows, ["market", "ticker", "date"])
+
+
+@query("backtest_trades")
+def _(s, d):
+    return backtest.trades(simulated(s, d), CFG)
+
+
+@query("backtest_equity")
+def _(s, d):
+    return backtest.equity(simulated(s, d), CFG)
+
+
+@query("backtest_metrics")
+def _(s, d):
+    rows = simulated(s, d).persist()
+    return backtest.metrics(backtest.trades(rows, CFG), backtest.equity(rows, CFG), bench(s, d), 52)
+
+
+@query("curve_metrics", f"""WITH {BARS}, c AS (SELECT date, close, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS ret, close / max(close) OVER (ORDER BY date) - 1 AS dd FROM bars WHERE ticker = 'Brand#11'), a AS (SELECT min(date) AS b, max(date) AS e, last(close ORDER BY date) / first(close ORDER BY date) AS g, min(dd) AS dd, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe, avg(CASE WHEN ret <> 0 THEN 1.0 WHEN ret = 0 THEN 0.0 END) AS tim FROM c)
+ SELECT round(100 * (g - 1), 4) AS total_return_pct, round(100 * (pow(g, 365.25 / (e - b)) - 1), 4) AS cagr_pct, round(100 * dd, 4) AS max_dd_pct, round(sharpe, 6) AS sharpe, round(100 * tim, 4) AS time_in_market_pct FROM a""")
+def _(s, d):
+    return rounded(backtest.curve_metrics(bench(s, d), "close", 52), [], total_return_pct=4, cagr_pct=4, max_dd_pct=4, sharpe=6, time_in_market_pct=4)
+
+
+# -- text, events, social
+
+_HITS = " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {float(w)} ELSE 0 END" for p, w in rules.PHRASES.items())
+_SCORE = f"greatest(-1.0, least(1.0, ({_HITS}) / 5))"
+
+
+@query("lexicon_hits", f"SELECT doc_id, CAST({_SCORE} AS DOUBLE) AS score FROM documents WHERE {_SCORE} <> 0")
+def _(s, d):
+    return source.table(s, d, "documents").select("doc_id", rules.text_score(F.col("text")).alias("score")).where("score <> 0")
+
+
+@query("headline_sentiment", f"WITH n AS (SELECT source AS ticker, {_SCORE} AS score, CAST(doc_id % 30 AS DOUBLE) AS age FROM documents) SELECT ticker, round(sum(score * pow(0.5, age / 3)) / sum(pow(0.5, age / 3)), 6) AS news_sent, CAST(sum(CASE WHEN age <= 7 THEN 1 ELSE 0 END) AS BIGINT) AS news_attention, count(*) AS n FROM n GROUP BY 1")
+def _(s, d):
+    now = F.lit(datetime(2024, 1, 31)).cast("timestamp")
+    news = source.table(s, d, "documents").select(F.col("source").alias("ticker"), F.col("text").alias("title"), (now - F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("published"))
+    return rounded(rules.headline_scores(news, now), ["ticker", "news_attention", "n"], news_sent=6)
+
+
+@query("fear_greed", "SELECT o_orderkey, CASE WHEN v >= 85 THEN 0.75 WHEN v >= 70 THEN 0.9 WHEN v <= 15 AND o_orderstatus <> 'O' THEN 0.75 ELSE 1.0 END::DOUBLE AS mult FROM (SELECT o_orderkey, o_orderstatus, o_orderkey % 101 AS v FROM orders)")
+def _(s, d):
+    o = source.table(s, d, "orders")
+    return o.select("o_orderkey", rules.fear_greed_mult(F.col("o_orderkey") % 101, F.when(F.col("o_orderstatus") == "O", "RISK_ON").otherwise("CRISIS")).alias("mult"))
+
+
+@query("earnings_flags", "SELECT o_custkey AS ticker, min(CAST(o_orderdate AS DATE)) - DATE '1997-06-01' AS days, CASE WHEN min(CAST(o_orderdate AS DATE)) - DATE '1997-06-01' <= 21 THEN 'Earnings in ' || (min(CAST(o_orderdate AS DATE)) - DATE '1997-06-01') || 'd (half size)' ELSE '' END AS flag FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-06-01' GROUP BY 1")
+def _(s, d):
+    today = F.lit("1997-06-01").cast("date")
+    dates = source.table(s, d, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"))
+    return rules.earnings(rules.next_dates(dates, today), today, policy="halve").select("ticker", F.col("days_to_earnings").alias("days"), F.col("earnings_flag").alias("flag"))
+
+
+@query("macro_warnings", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, 'Orders in ' || (CAST(o_orderdate AS DATE) - DATE '1997-06-01') || 'd (' || CAST(o_orderdate AS DATE) || ')' AS warning FROM orders WHERE CAST(o_orderdate AS DATE) - DATE '1997-06-01' BETWEEN 0 AND 10")
+def _(s, d):
+    dates = source.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.lit("Orders").alias("name")).distinct()
+    return rules.macro_warnings(dates, F.lit("1997-06-01").cast("date"), 10)
+
+
+@query("message_counts", "WITH e AS (SELECT *, max(ts) OVER () AS now FROM events) SELECT event_type AS ticker, count(CASE WHEN now - ts <= INTERVAL 24 HOUR THEN 1 END) AS messages_24h, count(CASE WHEN now - ts <= INTERVAL 168 HOUR THEN 1 END) AS messages_7d, count(CASE WHEN value > 60 THEN 1 END) AS bull, count(CASE WHEN value < 30 THEN 1 END) AS bear, round(count(CASE WHEN value > 60 THEN 1 END) / count(CASE WHEN value > 60 OR value < 30 THEN 1 END), 6) AS bull_share FROM e GROUP BY 1")
+def _(s, d):
+    e = source.table(s, d, "events")
+    last = e.agg(F.max("ts").alias("now"))  # one row
+    rows = e.join(last, F.lit(True)).select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("now").cast("timestamp").alias("now"), F.when(F.col("value") > 60, "bullish").when(F.col("value") < 30, "bearish").alias("tag"))
+    now = F.lit(last.first()[0]).cast("timestamp")
+    return rounded(rules.message_counts(rows, now), ["ticker", "messages_24h", "messages_7d", "bull", "bear"], bull_share=6)
+
+
+@query("fundamental_factors", "SELECT p_partkey AS ticker, round(greatest(-1, least(1, p_size / 25.0 - 1)), 6) AS roe, round(-ln(1 + greatest(p_size - 10, 0) / 100.0), 6) AS low_leverage, round(least(1.0 / nullif(p_size, 0), 0.5), 6) AS earnings_yield, round(greatest(-0.3, least(0.3, p_size / p_retailprice)), 6) AS fcf_yield, round(greatest(-0.5, least(1, 1000 / p_retailprice - 1)), 6) AS target_upside FROM part")
+def _(s, d):
+    p = source.table(s, d, "part").withColumns({"ticker": F.col("p_partkey"), "returnOnEquity": F.col("p_size") / 25 - 1, "debtToEquity": (F.col("p_size") - 10).cast("double"), "forwardPE": F.col("p_size").cast("double"), "freeCashflow": F.col("p_size").cast("double"), "marketCap": F.col("p_retailprice"), "targetMeanPrice": F.lit(1000.0), "close": F.col("p_retailprice")})
+    for c in ("grossMargins", "revenueGrowth", "earningsGrowth", "enterpriseToEbitda", "recommendationMean", "epsRevision30d"):
+        p = p.withColumn(c, F.lit(None).cast("double"))
+    return rounded(crosssection.fundamental_factors(p), ["ticker"], roe=6, low_leverage=6, earnings_yield=6, fcf_yield=6, target_upside=6)
+
+
+@query("shortest_id", "SELECT upper(p_brand) AS symbol, arg_min(p_name, (length(p_name), p_name)) AS id FROM part GROUP BY 1")
+def _(s, d):
+    return rules.shortest_id(source.table(s, d, "part").select(F.col("p_brand").alias("symbol"), F.col("p_name").alias("id")))
+
+
+# -- macro, learning
+
+_last = f"row_number() OVER (PARTITION BY ticker ORDER BY date DESC)"
+
+
+@query("macro_dashboard", f"WITH {BARS}, x AS (SELECT *, {_last} AS back, count(*) OVER ({O}) AS n, {', '.join(f'100 * (close / nullif({_lag(k)}, 0) - 1) AS {c}' for c, k in (('chg_1d', 1), ('chg_1w', 5), ('chg_1m', 21), ('chg_3m', 63)))}, {roll('avg', 'close', 200, 120)} AS s200, {_mid} AS s20, max(close) OVER ({O} ROWS 251 PRECEDING) AS hi, min(close) OVER ({O} ROWS 251 PRECEDING) AS lo FROM bars), y AS (SELECT *, lag(s20, 5) OVER ({O}) AS s20b FROM x) SELECT ticker, round(chg_1d, 5) AS chg_1d, round(chg_1w, 5) AS chg_1w, round(chg_1m, 5) AS chg_1m, round(chg_3m, 5) AS chg_3m, round(100 * (close / s200 - 1), 5) AS vs_200d, CASE WHEN s20 > s20b THEN 'up' ELSE 'down' END AS trend_20d, round(100 * (close - lo) / nullif(hi - lo, 0), 5) AS pct_52w_range FROM y WHERE back = 1 AND n >= 30")
+def _(s, d):
+    return rounded(macro.dashboard(source.brand_bars(s, d)), ["ticker", "trend_20d"], chg_1d=5, chg_1w=5, chg_1m=5, chg_3m=5, vs_200d=5, pct_52w_range=5)
+
+
+@query("sector_rotation", f"WITH {BARS}, x AS (SELECT *, {_last} AS back, count(*) OVER ({O}) AS n, {', '.join(f'100 * (close / nullif({_lag(k)}, 0) - 1) AS {c}' for c, k in (('w', 5), ('m', 21), ('q', 63)))} FROM bars), l AS (SELECT * FROM x WHERE back = 1), r AS (SELECT a.ticker, a.w - b.w AS w, a.m - b.m AS m, a.q - b.q AS q FROM l a, (SELECT * FROM l WHERE ticker = 'Brand#11') b WHERE a.n >= 70 AND a.ticker <> 'Brand#11') SELECT ticker, round(w, 5) AS rel_1w, round(m, 5) AS rel_1m, round(q, 5) AS rel_3m, row_number() OVER (ORDER BY rank() OVER (ORDER BY w) + 2 * rank() OVER (ORDER BY m) + rank() OVER (ORDER BY q) DESC, ticker) AS place FROM r".replace("row_number() OVER (ORDER BY rank()", "row_number() OVER (ORDER BY sc DESC, ticker) AS place FROM (SELECT *, rank()").replace(" DESC, ticker) AS place FROM r", " AS sc FROM r)"))
+def _(s, d):
+    b = source.brand_bars(s, d)
+    return rounded(macro.rotation(b.where("ticker <> 'Brand#11'"), b.where("ticker = 'Brand#11'")), ["ticker", "place"], rel_1w=5, rel_1m=5, rel_3m=5)
+
+
+@query("positioning", f"WITH {BARS}, x AS (SELECT ticker AS label, date, 100 * (high - low) / nullif(close, 0) AS net FROM bars WHERE ticker LIKE 'Brand#1%'), y AS (SELECT *, lag(net) OVER (PARTITION BY label ORDER BY date) AS before FROM x), l AS (SELECT label, max(date) AS as_of, arg_max(net, date) AS cur, arg_max(net - before, date) AS wk FROM y GROUP BY 1) SELECT l.label, l.as_of, round(l.cur, 5) AS net_spec_pct_oi, round(l.wk, 5) AS wk_change, round(100 * avg(CASE WHEN net <= cur THEN 1.0 ELSE 0.0 END), 5) AS pct_3y FROM y JOIN l USING (label) GROUP BY ALL")
+def _(s, d):
+    cot = source.brand_bars(s, d).select(F.col("ticker").alias("market"), "date", F.col("ticker").alias("code"), F.col("close").alias("oi"), F.col("high").alias("nc_long"), F.col("low").alias("nc_short"))
+    markets = s.createDataFrame([(f"Brand#1{i}", f"brand#1{i}") for i in range(1, 6)], "label string, prefix string")
+    return rounded(macro.positioning(cot, markets), ["label", "as_of"], net_spec_pct_oi=5, wk_change=5, pct_3y=5)
+
+
+@query("ml_labels", f"WITH {_FEATURES}, f AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY fwd_ret NULLS LAST) + (count(*) OVER (PARTITION BY date, fwd_ret) - 1) / 2.0) / count(fwd_ret) OVER (PARTITION BY date) AS r FROM feat) SELECT ticker, date, CASE WHEN fwd_ret IS NOT NULL THEN CASE WHEN r > 0.7 THEN 1.0 ELSE 0.0 END END AS label FROM f")
+def _(s, d):
+    return ml.labels(lite(s, d)).select("ticker", "date", "label")
+
+
+@query("ml_splits", f"WITH {BARS}, n AS (SELECT count(DISTINCT date) AS n FROM bars) SELECT CAST(t AS INT) AS test_day, CAST(least(t + 20, n) AS INT) AS test_end, CAST(t - 16 AS INT) AS train_end FROM n, generate_series(250, 1000, 20) g(t) WHERE t < n")
+def _(s, d):
+    return ml.splits(source.brand_bars(s, d)).select(F.col("test_day").cast("int").alias("test_day"), F.col("test_end").cast("int").alias("test_end"), F.col("train_end").cast("int").alias("train_end"))
+
+
+@query("ml_walk_forward")
+def _(s, d):
+    rows = crosssection.group_scores(crosssection.zscores(lite(s, d), _ALL), config.TECHNICAL).withColumn("regime", F.lit("NEUTRAL"))
+    settings = config.load({"ml": {"max_iter": 5, "step": 60, "every": 1}})
+    return ml.metrics(ml.walk_forward(rows, settings, features=["g_momentum", "g_volume", "clenow", "cmf20", "close_range3"]))
+
+
+# -- reports
+
+
+@query("report_summary", f"WITH {BARS} SELECT ticker, list(close ORDER BY date)[-60:] AS closes FROM bars GROUP BY 1".replace("list(close ORDER BY date)[-60:] AS closes", "round(list_sum(list(close ORDER BY date)[-60:]), 2) AS total, len(list(close ORDER BY date)[-60:]) AS n"))
+def _(s, d):
+    rows = reports.sparkline_values(source.brand_bars(s, d))
+    return rows.select("ticker", F.round(F.aggregate("closes", F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.size("closes").alias("n"))
