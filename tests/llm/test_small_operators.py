@@ -132,6 +132,32 @@ def test_near_duplicates(docs, none):
     assert bagminhash.classes(none).count() == 0
 
 
+def test_near_duplicate_classes_match_brute_force(spark):
+    """Families whose members lie on both sides of the threshold, and share buckets without being links."""
+    rng, texts = random.Random(11), []
+    for family in range(3):
+        own = prose(150, 50 + family).split()
+        for _ in range(40):
+            copy = list(own)
+            for _ in range(rng.randint(0, 9)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 9)}"
+            texts.append(" ".join(copy))
+    texts.append(texts[0])
+    bags = []
+    for t in texts:
+        w = t.split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    comp = list(range(len(texts)))
+    for i, a in enumerate(bags):
+        for j in range(i):
+            both = sum((a & bags[j]).values())
+            if both >= 0.8 * (sum(a.values()) + sum(bags[j].values()) - both) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    got = bagminhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert 3 < len(set(comp)) < len(texts) and got["class_id"].tolist() == comp
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_repeated_passages(docs, none, most):
     rows = suffix_dedup.repeats(docs, 100, most).toPandas()

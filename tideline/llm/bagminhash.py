@@ -15,14 +15,18 @@ multiset overlap, so signatures only decide which pairs are looked at. Within a
 bucket, members are compared with leaders, not each with each: those that link
 to a leader join its class, and further leaders (more each round) are compared
 only with members of other classes, until no bucket holds two members of
-different classes that were not compared. Classes are connected components.
+different classes that were not compared. The first round takes a few bands
+only, as most copies find their class there. Classes are connected components.
 
 Before that, shingles that only one member has bound what it can share: of two
 texts with sizes x, y and such own weight u, v the overlap is at most
 m = min(x-u, y-v), the index at most m / (x+y-m). Pairs below the threshold by
 this bound are no links, members that can have no partner leave their buckets,
 and those with the least own weight lead: in a family of copies that differ
-each in its own way, that is the one closest to the original.
+each in its own way, that is the one closest to the original. From the third
+round on, where buckets are left whose members resemble each other without
+being links, a bitmap of each member's shingles sharpens the bound: a bit that
+only one of two members has is a shingle that they do not share.
 
 Defined cases: null text counts as empty. Texts with the same multiset of
 shingles (repeated rows, texts without any words) are one class. Rows with a
@@ -32,11 +36,12 @@ null id take part; a class's id is its least id that is not null.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +49,7 @@ from .common import batches_by_bytes, materialize, mix64
 from .words import Chunk, shingles
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+BITS = 2048
 
 
 def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: int = 128) -> np.ndarray:
@@ -107,7 +113,7 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def bags(docs: DataFrame, size: int) -> DataFrame:
-    """(node, bag) of each row: the multiset itself, shingles then weights, packed."""
+    """(node, bag, bits) of each row: the multiset itself, shingles then weights, packed, and a bitmap of its shingles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -117,9 +123,11 @@ def bags(docs: DataFrame, size: int) -> DataFrame:
                 text, value, weight = shingles(Chunk(own), size)
                 at = np.searchsorted(text, np.arange(len(own) + 1))
                 packed = [value[i:j].tobytes() + weight[i:j].astype("<u4").tobytes() for i, j in zip(at, at[1:])]
-                yield pd.DataFrame({"node": bag_keys(text, value, weight, len(own)), "bag": packed})
+                bits = np.zeros((len(own), BITS), np.uint8)
+                bits[text, (value % np.uint64(BITS)).astype(np.int64)] = 1
+                yield pd.DataFrame({"node": bag_keys(text, value, weight, len(own)), "bag": packed, "bits": list(np.packbits(bits, axis=1).view(np.int64))})
 
-    return docs.select("text").mapInPandas(run, "node binary, bag binary")
+    return docs.select("text").mapInPandas(run, "node binary, bag binary, bits array<long>")
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -176,38 +184,49 @@ def own_weight(contents: DataFrame) -> DataFrame:
     return total.join(alone, "id", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+def _reaches(alone: Column, alone_a: Column, least: float) -> Column:
+    """Can two multisets (size, size_a) be as alike as `least`, if so much of each is not shared?"""
+    most = F.least(F.col("size") - alone, F.col("size_a") - alone_a)
+    return most >= least * (F.col("size") + F.col("size_a") - most) - 1e-6
+
+
+def classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 32, rows: int = 4, early: int = 6) -> DataFrame:
     """(doc_id, class_id, class_size), a row for each row of docs."""
     own = materialize(signed(docs, size, bands, rows), "signed")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
+    spread = nodes.select("node", "rep", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = materialize(spread.join(shared, "bucket"), "buckets")
     members = buckets.select("node", "rep").distinct()
     wanted = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     contents = materialize(bags(wanted, size).dropDuplicates(["node"]).join(members.select("node"), "node", "left_semi"), "bags")
     weights = own_weight(contents).where(F.col("size") - F.col("own") >= least * F.col("size"))
-    buckets = materialize(buckets.select("bucket", "node").join(weights, "node"), "members")
+    buckets = materialize(buckets.select("band", "bucket", "node").join(weights, "node"), "members")
     labels = materialize(buckets.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    leaders, led = 1, None
-    while True:
+    led, ones = None, F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+    for leaders in itertools.chain([0, 1], (8**i for i in itertools.count(1))):
         open_ = buckets.join(labels, "node")
         if led is not None:
             open_ = open_.join(led, ["bucket", "node"], "left_anti")
         mixed = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-        open_ = materialize(open_.join(mixed, "bucket"), "open")
-        if open_.isEmpty():
+        open_ = (open_ if leaders else open_.where(F.col("band") < early)).join(mixed, "bucket")
+        if leaders > 1:
+            open_ = open_.join(contents.select("node", "bits", ones.alias("ones")), "node")
+        open_ = materialize(open_, "open")
+        if open_.isEmpty() and leaders:
             break
         order = W.partitionBy("bucket").orderBy(F.col("own") / F.col("size"), "node")
-        first = open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
-        first = materialize(first.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), F.col("own").alias("own_a")), "leaders")
-        most = F.least(F.col("size") - F.col("own"), F.col("size_a") - F.col("own_a"))
-        may = (F.col("comp") != F.col("comp_a")) & (most >= least * (F.col("size") + F.col("size_a") - most) - 1e-6)
-        pairs = open_.withColumnRenamed("bucket", "k").join(first, (F.col("k") == F.col("bucket")) & may).select("a", F.col("node").alias("b")).distinct()
-        labels = components(labels, materialize(verified(pairs, contents, least), "links"))
-        now = first.select("bucket", F.col("a").alias("node"))
+        first = open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, leaders))
+        first = materialize(first.select("bucket", *(F.col(c).alias(f"{c}_a") for c in open_.columns if c not in ("bucket", "band"))), "leaders")
+        may = (F.col("comp") != F.col("comp_a")) & _reaches(F.col("own"), F.col("own_a"), least)
+        if leaders > 1:
+            both = F.aggregate(F.zip_with("bits", "bits_a", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+            may &= _reaches(F.col("ones") - both, F.col("ones_a") - both, least)
+        pairs = open_.withColumnRenamed("bucket", "k").join(first, (F.col("k") == F.col("bucket")) & may).select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        links = verified(materialize(pairs, "pairs"), contents, least)
+        labels = components(labels, materialize(links, "links"))
+        now = first.select("bucket", F.col("node_a").alias("node"))
         led = now if led is None else led.unionByName(now)
-        leaders *= 8
     named = own.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(ids, "comp").select("doc_id", "class_id", "class_size")
