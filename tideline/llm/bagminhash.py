@@ -204,7 +204,7 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 32,
     buckets = materialize(buckets.select("band", "bucket", "node").join(weights, "node"), "members")
     labels = materialize(buckets.select("node", F.col("node").alias("comp")).distinct(), "labels")
     led, ones = None, F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
-    for leaders in itertools.chain([0, 1], (8**i for i in itertools.count(1))):
+    for leaders in itertools.chain([0, 1], (32**i for i in itertools.count(1))):
         open_ = buckets.join(labels, "node")
         if led is not None:
             open_ = open_.join(led, ["bucket", "node"], "left_anti")
