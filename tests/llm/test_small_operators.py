@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -238,6 +239,40 @@ def test_secrets(spark, none):
     assert secrets_forest.secrets(secrets_forest.findings(none)).count() == 0
 
 
+def test_secrets_of_one_word(spark):
+    rng = random.Random(1)
+    key = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789": "".join(rng.choice(a) for _ in range(n - 1)) + "7a"
+    rows, truth, codes = [], {}, {}
+    for i in range(240):
+        a, b, aws, plain = key(24), key(39), "AKIA" + key(15).upper()[:16], key(20)
+        shape = [
+            f"client_secret={a} and AWS_SECRET_ACCESS_KEY={b} access_token:'{plain}'",
+            f'{{"api_key":"sk_live_{a}","id":"{aws}","order_reference_number":"{plain}"}}',
+            f"https://example.org/get/list?access_token={a}&private_token={a}x&page_of_result={plain}",
+            f"parcel_reference_number={plain} came",
+        ][i % 4]
+        truth[i] = [{a, b, plain}, {"sk_live_" + a, aws}, {a, a + "x"}, set()][i % 4]
+        codes[i] = [set(), {plain}, {plain}, {plain}][i % 4]
+        rows.append((i, prose(20, i) + " " + shape + " " + prose(5, i)))
+    found = secrets_forest.findings(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    every = {(r["doc_id"], r["value"]) for r in found.collect()}
+    assert all((i, v) in every for i in truth for v in truth[i] | codes[i])
+    assert {(r["doc_id"], r["value"]) for r in found.where(secrets_forest.rule(found)).collect()} == {(i, v) for i in truth for v in truth[i]}
+    kept = {(r["doc_id"], r["value"]) for r in secrets_forest.secrets(found).collect()}
+    wanted = {(i, v) for i in truth for v in truth[i]}
+    assert len(kept & wanted) >= 0.95 * len(wanted) and len(kept - wanted) <= 0.05 * len(wanted)
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("ab7_") for _ in range(rng.choice([1, 5, 11, 12, 12, 13, 40]))) + rng.choice(["=", '":"', "é", "🙂.", "", "abababababab="])
+    words = ["7." + "".join(part() for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["漢" * 3000 + "7" + "x" * 12]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    want = {(i, k, m[0], w[: m.start()][-256:], w[m.end() :][:256]) for i, w in enumerate(words) for k, m in enumerate(re.finditer("[A-Za-z0-9_+/-]{12,}", w))}
+    got = {(r["doc_id"], r["run"], r["value"], r["prefix"], r["word"][len(r["prefix"]) + len(r["value"]) :]) for r in secrets_forest.findings(docs).collect()}
+    assert got == want and len(want) > 500
+
+
 def test_chat_blocks_equal_one_pass(spark):
     rng = random.Random(7)
     rows = []
