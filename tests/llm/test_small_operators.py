@@ -263,6 +263,23 @@ def test_secrets_of_one_word(spark):
     assert len(kept & wanted) >= 0.95 * len(wanted) and len(kept - wanted) <= 0.05 * len(wanted)
 
 
+def test_copies_do_not_fill_samples(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    hot = "token = " + key(40)
+    rows = [(i, hot) for i in range(3000)] + [(5000 + i, f"{prose(3, i)} secret: {key(38)}7a") for i in range(5)] + [(6000 + i, f"{prose(5, i)} {rng.randint(10**15, 10**16)} and so on") for i in range(300)]
+    found = secrets_forest.findings(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    model, *seen = secrets_forest.fit(found, per_label=20)
+    judged = secrets_forest.judged(found, model, *seen).where("probability >= 0.5")
+    assert model is not None and judged.count() == 3005
+    assert secrets_forest.fit(found.repartition(7, "at"), per_label=20)[1:] == tuple(seen)
+    texts = [("en", BASE)] * 900 + [("en", prose(20, i)) for i in range(40)] + [("de", prose(20, 100 + i)) for i in range(7)] + [(None, "a")]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    got, langs = langid_cnn.training_sample(docs, F.lit(True), per_lang=15)
+    assert Counter(langs) == {"en": 15, "de": 7} and len(set(got)) == 22
+    assert (got, langs) == langid_cnn.training_sample(docs.repartition(9), F.lit(True), per_lang=15)
+
+
 def test_runs_equal_brute_force(spark):
     rng = random.Random(3)
     part = lambda: "".join(rng.choice("ab7_") for _ in range(rng.choice([1, 5, 11, 12, 12, 13, 40]))) + rng.choice(["=", '":"', "é", "🙂.", "", "abababababab="])

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -54,6 +55,21 @@ def mod_of_id(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def lowest(rows: DataFrame, group: str, mark: str, most: int) -> DataFrame:
+    """Of the distinct rows of each group the `most` with the least marks (64-bit hashes), so copies count once.
+
+    An approximate count only bounds what is ranked, at about twice of what is
+    kept; which rows are kept does not hang on it, nor on how rows are dealt.
+    """
+    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.approx_count_distinct(mark).alias("n")).collect()}
+    near = F.lit(False)
+    for key, n in sorted((k, n) for k, n in counts.items() if k is not None):
+        share = (2 * most + 50) / max(1, n)
+        near = F.when(F.col(group) == key, F.col(mark) < int(share * 2.0**64) - 2**63 if share < 1 else F.lit(True)).otherwise(near)
+    order = W.partitionBy(group).orderBy(mark, *(c for c in rows.columns if c not in (group, mark)))
+    return rows.where(near).distinct().withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection that spreads every bit."""
     x = np.asarray(x, np.uint64).copy()

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lowest
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
@@ -159,23 +161,17 @@ def predict(tables: Tables, texts: list[str | None], piece: int = 4096) -> tuple
 
 
 def training_sample(docs: DataFrame, eligible: Column, per_lang: int = 600, chars: int = 2048) -> tuple[list[bytes], list[str]]:
-    """A bounded sample: about per_lang texts of each language by lowest hash of text, a stretch of each.
+    """A bounded sample: the per_lang distinct texts of each language with the lowest hashes, a stretch of each.
 
     Both parameters bound what the driver holds: languages x per_lang x chars.
     The stretch starts at a place that the text's hash picks, so it is not
     always the opening.
     """
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], []
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
     h = F.xxhash64("text")
     place = F.lit(1) + F.pmod(F.shiftright(h, 7), F.greatest(F.char_length("text") - F.lit(chars), F.lit(1)))
-    sample = rows.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).select("lang", F.substr("text", place.cast("int"), F.lit(chars)).alias("text"), h.alias("h"))
-    got = sorted((r["h"], r["lang"], r["text"]) for r in sample.limit(4 * per_lang * len(counts)).collect())
+    stretches = rows.select("lang", F.substr("text", place.cast("int"), F.lit(chars)).alias("text"), h.alias("h"))
+    got = sorted((r["h"], r["lang"], r["text"]) for r in lowest(stretches, "lang", "h", per_lang).collect())
     return [t.encode("utf-8", "replace") for _, _, t in got], [lang for _, lang, _ in got]
 
 
