@@ -280,6 +280,20 @@ def test_copies_do_not_fill_samples(spark):
     assert (got, langs) == langid_cnn.training_sample(docs.repartition(9), F.lit(True), per_lang=15)
 
 
+def test_redaction_without_ids(spark):
+    rng = random.Random(6)
+    secret = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "7a" for _ in range(60)]
+    ids = [None] * 20 + [7] * 20 + list(range(100, 120))
+    rows = [(i, prose(10, k) + f" token = {s} end") for k, (i, s) in enumerate(zip(ids, secret))] * 2 + [(None, prose(10, 1) + f" {k}041894974608795 ") for k in range(30)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = secrets_forest.secrets(secrets_forest.findings(docs).persist())
+    out = secrets_forest.redact(docs, kept).collect()
+    wanted = [(i, t and re.sub("token = [0-9a-f]+", "token = [SECRET]", t)) for i, t in rows]
+    assert Counter(map(tuple, out)) == Counter(wanted)
+    lists = secrets_forest.findings(docs).groupBy("text_key").agg(F.collect_set("value").alias("v")).agg(F.max(F.size("v"))).first()[0]
+    assert lists == 1
+
+
 def test_runs_equal_brute_force(spark):
     rng = random.Random(3)
     part = lambda: "".join(rng.choice("ab7_") for _ in range(rng.choice([1, 5, 11, 12, 12, 13, 40]))) + rng.choice(["=", '":"', "é", "🙂.", "", "abababababab="])
