@@ -32,6 +32,25 @@ def test_against_sql(spark, name):
     assert as_rows(got) == as_rows(want)
 
 
+def test_all_factors_equal_brute_force(spark):
+    factors = [f for g in config.TECHNICAL.values() for f in g]
+    rows = catalogue.panel(spark, SF).select("ticker", "date", *factors).toPandas()
+    assert len(factors) == 18 and rows[["ema_align", "adx_dir", "rsi_zone", "ema21_fit", "rsi2_inv", "atr_fit"]].notna().any().all()
+    by = rows.groupby("date")
+    z = pd.DataFrame({f: ((rows[f] - by[f].transform("mean")) / by[f].transform("std").where(lambda x: x > 0)).clip(-3, 3) for f in factors})
+    mean = lambda x, w: (x * w).sum(axis=1, min_count=1) / (x.notna() * w).sum(axis=1)
+    g = pd.DataFrame({name: mean(z[list(w)], pd.Series(w, dtype=float)) for name, w in config.TECHNICAL.items()})
+    got = catalogue.QUERIES["composite_all_factors"](spark, SF).toPandas()
+    both = rows[["ticker", "date"]].merge(got, on=["ticker", "date"], how="left", validate="1:1")
+    weights = pd.DataFrame([catalogue.CFG["weights"][r][:5] for r in both["regime"]], columns=g.columns)
+    want = (g * weights).sum(axis=1, min_count=1) / (g.notna() * weights).sum(axis=1)
+    assert len(got) == len(rows) and want.notna().sum() > 1000
+    np.testing.assert_allclose(both["composite"], want, atol=2e-5)
+    assert set(entry.entry(spark).toPandas()["composite"].dropna()) <= set(got["composite"].dropna())
+    assert {f"{n}_all_factors" for n in ("comp_rank", "top_ten", "latest_cross_section", "conviction", "deciles", "rank_ic", "zscore_cs", "group_scores", "explain_bits")} <= set(entry.queries())
+    assert {"g_volatility", "z_ema_align"} <= set(catalogue.simulated(spark, SF).columns)
+
+
 def test_sleeve_fixture(spark):
     cfg = config.load()
     rows = plan.market_sleeves(spark.createDataFrame([("uae", "RISK_ON", 0.5), ("us", "RISK_OFF", None)], "market string, regime string, ic_t double"), cfg, oil_bull=False).collect()

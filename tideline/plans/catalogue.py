@@ -279,6 +279,16 @@ def lite_scored(s: SparkSession, d: str) -> DataFrame:
     return crosssection.score_panel(lite(s, d), regimes(s, d), CFG["weights"])
 
 
+def both(name: str, sql: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    """Registers f over the light factors beside its SQL, and over all 18 factors, without SQL, as name_all_factors."""
+    def put(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        query(name, sql)(lambda s, d: f(lite_scored(s, d)))
+        query(f"{name}_all_factors")(lambda s, d: f(scored(s, d)))
+        return f
+
+    return put
+
+
 _FEATURES = f"""{_mfv}, ob AS (SELECT *, ln(close) AS lc, sum(coalesce(sign(change), 0) * volume) OVER ({O}) AS obv FROM mf),
  bn AS (SELECT o.*, last_value(b.close IGNORE NULLS) OVER (PARTITION BY o.ticker ORDER BY o.date) AS bc FROM ob o LEFT JOIN (SELECT date, close FROM bars WHERE ticker = 'Brand#11') b USING (date)),
  feat AS (SELECT ticker, date, idx, close, {roll('avg', 'close', 50)} AS sma50, lead(close, 15) OVER ({O}) / close - 1 AS fwd_ret, {roll('avg', 'close * volume', 20, 10)} AS adv20,
@@ -348,6 +358,16 @@ def _(s, d):
     return rounded(crosssection.group_scores(crosssection.zscores(lite(s, d), _ALL), config.TECHNICAL), ["ticker", "date"], **{f"g_{g}": 5 for g in LITE_FACTORS})
 
 
+@query("zscore_cs_all_factors")
+def _(s, d):
+    return rounded(scored(s, d), ["ticker", "date"], **{f"z_{f}": 5 for g in config.TECHNICAL.values() for f in g})
+
+
+@query("group_scores_all_factors")
+def _(s, d):
+    return rounded(scored(s, d), ["ticker", "date"], **{f"g_{g}": 5 for g in config.TECHNICAL})
+
+
 def _w(g: str) -> str:
     i = config.GROUPS.index(g)
     return "CASE regime " + " ".join(f"WHEN '{r}' THEN {float(w[i])}" for r, w in CFG["weights"].items()) + " END"
@@ -357,44 +377,44 @@ COMP = f"{ZED}, {REGIME}, rd AS (SELECT date, coalesce(last_value(regime IGNORE
 COMP += ", crk AS (SELECT *, CASE WHEN composite IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY composite NULLS LAST) + (count(*) OVER (PARTITION BY date, composite) - 1) / 2.0) / count(composite) OVER (PARTITION BY date) END AS comp_rank FROM cmp)"
 
 
-@query("composite", f"WITH {COMP} SELECT ticker, date, regime, round(composite, 5) AS composite FROM crk")
-def _(s, d):
-    return rounded(lite_scored(s, d), ["ticker", "date", "regime"], composite=5)
+@both("composite", f"WITH {COMP} SELECT ticker, date, regime, round(composite, 5) AS composite FROM crk")
+def _(rows):
+    return rounded(rows, ["ticker", "date", "regime"], composite=5)
 
 
-@query("comp_rank", f"WITH {COMP} SELECT ticker, date, round(comp_rank, 6) AS comp_rank FROM crk")
-def _(s, d):
-    return rounded(lite_scored(s, d), ["ticker", "date"], comp_rank=6)
+@both("comp_rank", f"WITH {COMP} SELECT ticker, date, round(comp_rank, 6) AS comp_rank FROM crk")
+def _(rows):
+    return rounded(rows, ["ticker", "date"], comp_rank=6)
 
 
-@query("latest_cross_section", f"WITH {COMP} SELECT ticker, date, round(composite, 5) AS composite, regime FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, max(date) OVER () AS newest FROM crk) WHERE n = 1 AND newest - date <= 7")
-def _(s, d):
-    return rounded(crosssection.latest(lite_scored(s, d)), ["ticker", "date", "regime"], composite=5)
+@both("latest_cross_section", f"WITH {COMP} SELECT ticker, date, round(composite, 5) AS composite, regime FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, max(date) OVER () AS newest FROM crk) WHERE n = 1 AND newest - date <= 7")
+def _(rows):
+    return rounded(crosssection.latest(rows), ["ticker", "date", "regime"], composite=5)
 
 
-@query("top_ten", f"WITH {COMP} SELECT ticker, date, round(composite, 5) AS composite, row_number() OVER (ORDER BY composite DESC NULLS LAST, ticker) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, max(date) OVER () AS newest FROM crk) WHERE n = 1 AND newest - date <= 7 QUALIFY place <= 10")
-def _(s, d):
-    return rounded(crosssection.top(crosssection.latest(lite_scored(s, d)), 10), ["ticker", "date", "place"], composite=5)
+@both("top_ten", f"WITH {COMP} SELECT ticker, date, round(composite, 5) AS composite, row_number() OVER (ORDER BY composite DESC NULLS LAST, ticker) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, max(date) OVER () AS newest FROM crk) WHERE n = 1 AND newest - date <= 7 QUALIFY place <= 10")
+def _(rows):
+    return rounded(crosssection.top(crosssection.latest(rows), 10), ["ticker", "date", "place"], composite=5)
 
 
-@query("conviction", f"WITH {COMP} SELECT ticker, date, round(100 / (1 + exp(-1.6 * composite)), 4) AS conviction, round(greatest(1, least(99, 100 / (1 + exp(-1.6 * composite)) - CASE WHEN adv20 >= 2000000 THEN 0 ELSE 8 END)) + 0 * composite, 4) AS adjusted FROM crk")
-def _(s, d):
+@both("conviction", f"WITH {COMP} SELECT ticker, date, round(100 / (1 + exp(-1.6 * composite)), 4) AS conviction, round(greatest(1, least(99, 100 / (1 + exp(-1.6 * composite)) - CASE WHEN adv20 >= 2000000 THEN 0 ELSE 8 END)) + 0 * composite, 4) AS adjusted FROM crk")
+def _(rows):
     c = crosssection.conviction(F.col("composite"))
     liquid = F.coalesce(F.col("adv20") >= 2_000_000, F.lit(False))
-    return lite_scored(s, d).select("ticker", "date", F.round(c, 4).alias("conviction"), F.round(crosssection.adjusted_conviction(c, F.lit(True), F.lit(""), liquid), 4).alias("adjusted"))
+    return rows.select("ticker", "date", F.round(c, 4).alias("conviction"), F.round(crosssection.adjusted_conviction(c, F.lit(True), F.lit(""), liquid), 4).alias("adjusted"))
 
 
-@query("deciles", f"WITH {COMP} SELECT CAST(floor(least(comp_rank * 10, 9.999)) + 1 AS INT) AS decile, round(avg(fwd_ret) * 100, 5) AS mean_pct, round(median(fwd_ret) * 100, 5) AS median_pct, round(avg(CASE WHEN fwd_ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM crk WHERE comp_rank IS NOT NULL AND fwd_ret IS NOT NULL GROUP BY 1")
-def _(s, d):
-    return rounded(crosssection.deciles(lite_scored(s, d)), ["decile", "n"], mean_pct=5, median_pct=5, hit_rate=6)
+@both("deciles", f"WITH {COMP} SELECT CAST(floor(least(comp_rank * 10, 9.999)) + 1 AS INT) AS decile, round(avg(fwd_ret) * 100, 5) AS mean_pct, round(median(fwd_ret) * 100, 5) AS median_pct, round(avg(CASE WHEN fwd_ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM crk WHERE comp_rank IS NOT NULL AND fwd_ret IS NOT NULL GROUP BY 1")
+def _(rows):
+    return rounded(crosssection.deciles(rows), ["decile", "n"], mean_pct=5, median_pct=5, hit_rate=6)
 
 
 _RK = lambda x: f"rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0"
 
 
-@query("rank_ic", f"WITH {COMP}, r AS (SELECT date, {_RK('composite')} AS a, {_RK('fwd_ret')} AS b FROM crk WHERE composite IS NOT NULL AND fwd_ret IS NOT NULL), ic AS (SELECT date, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM r GROUP BY 1) SELECT round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_sd, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic) / 15), 5) AS ic_t, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive, count(ic) AS n_dates FROM ic WHERE n >= 8")
-def _(s, d):
-    return rounded(crosssection.rank_ic(lite_scored(s, d)), ["n_dates"], ic_mean=6, ic_sd=6, ic_t=5, share_positive=6)
+@both("rank_ic", f"WITH {COMP}, r AS (SELECT date, {_RK('composite')} AS a, {_RK('fwd_ret')} AS b FROM crk WHERE composite IS NOT NULL AND fwd_ret IS NOT NULL), ic AS (SELECT date, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM r GROUP BY 1) SELECT round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_sd, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic) / 15), 5) AS ic_t, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive, count(ic) AS n_dates FROM ic WHERE n >= 8")
+def _(rows):
+    return rounded(crosssection.rank_ic(rows), ["n_dates"], ic_mean=6, ic_sd=6, ic_t=5, share_positive=6)
 
 
 RETURNS = f"{BARS}, rt AS (SELECT ticker, date, close / nullif(lag(close) OVER ({O}), 0) - 1 AS ret, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars), l60 AS (SELECT * FROM rt WHERE back <= 60)"
@@ -434,6 +454,12 @@ def _(s, d):
     return rows.select("ticker", "date", rules.explained(rows.columns).alias("why"))
 
 
+@query("explain_bits_all_factors")
+def _(s, d):
+    rows = scored(s, d)
+    return rows.select("ticker", "date", rules.explained(rows.columns).alias("why"))
+
+
 def planned(s: SparkSession, d: str) -> DataFrame:
     rows = featured(s, d).withColumns({"setup": rules.setup_label(), "regime": F.lit("RISK_ON"), "size_mult": F.lit(1.0)})
     out = plan.planned(rows, CFG)
@@ -548,9 +574,8 @@ def _(s, d):
 
 
 def simulated(s: SparkSession, d: str) -> DataFrame:
-    """The light panel with what a simulation needs; the 21-bar mean stands in where a trend is asked for."""
-    rows = featured(s, d).select("market", "ticker", "date", "open", "low", "atr", "uptrend")
-    return lite_scored(s, d).join(rows, ["market", "ticker", "date"])
+    """The scored panel with all factors."""
+    return scored(s, d)
 
 
 @query("backtest_trades")
