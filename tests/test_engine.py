@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tideline import config
-from tideline.operators import backtest, plan, rules
+from tideline.operators import backtest, ml, plan, rules
 from tideline.plans import catalogue, reports
 from tideline.plans.engine import Engine
 from tideline.sources import bars as source
@@ -51,6 +51,24 @@ def test_all_factors_equal_brute_force(spark):
     assert {"g_volatility", "z_ema_align"} <= set(catalogue.simulated(spark, SF).columns)
 
 
+@pytest.mark.parametrize("name", ["wide_to_long_all_tickers", "positioning_all_tickers"])
+def test_every_ticker(spark, name):
+    test_against_sql(spark, name)
+    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    assert set(got[got.columns[0]]) == {r["ticker"] for r in source.brand_bars(spark, SF).select("ticker").distinct().collect()}
+
+
+def test_walk_forward_is_the_whole_job(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(ml, "walk_forward", lambda rows, cfg, **more: calls.append((rows, cfg, more)) or rows)
+    monkeypatch.setattr(ml, "metrics", lambda rows: rows)
+    catalogue.QUERIES["ml_walk_forward"](spark, SF)
+    (rows, cfg, more), = calls
+    assert not more and set(ml.FEATURES) <= set(rows.columns)
+    assert (cfg["ml"]["max_iter"], cfg["ml"]["step"], cfg["ml"]["every"]) == (150, 20, 5)
+    assert rows.select("regime").distinct().count() > 1
+
+
 def test_sleeve_fixture(spark):
     cfg = config.load()
     rows = plan.market_sleeves(spark.createDataFrame([("uae", "RISK_ON", 0.5), ("us", "RISK_OFF", None)], "market string, regime string, ic_t double"), cfg, oil_bull=False).collect()

@@ -138,6 +138,15 @@ def _(s, d):
     return source.from_wide(wide, ("Close", "Volume")).where("close is not null").select("ticker", "date", "close", "volume")
 
 
+@query("wide_to_long_all_tickers", f"WITH {BARS} SELECT ticker, date, close, volume FROM bars WHERE close IS NOT NULL")
+def _(s, d):
+    b = source.brand_bars(s, d)
+    tickers = [r["ticker"] for r in b.select("ticker").distinct().orderBy("ticker").collect()]
+    wide = b.groupBy("date").pivot("ticker", tickers).agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
+    wide = wide.select("date", *(F.col(f"`{t}_{f}`").alias(f"{f}_{t}") for t in tickers for f in ("Close", "Volume")))
+    return source.from_wide(wide, ("Close", "Volume")).where("close is not null").select("ticker", "date", "close", "volume")
+
+
 @query("min_bars_filter", f"WITH {BARS} SELECT ticker, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) >= 355")
 def _(s, d):
     return source.with_enough(source.brand_bars(s, d), 355).groupBy("ticker").agg(F.count("*").alias("n"))
@@ -682,6 +691,14 @@ def _(s, d):
     return rounded(macro.positioning(cot, markets), ["label", "as_of"], net_spec_pct_oi=5, wk_change=5, pct_3y=5)
 
 
+@query("positioning_all_tickers", f"WITH {BARS}, x AS (SELECT ticker AS label, date, 100 * (high - low) / nullif(close, 0) AS net FROM bars), y AS (SELECT *, lag(net) OVER (PARTITION BY label ORDER BY date) AS before FROM x), l AS (SELECT label, max(date) AS as_of, arg_max(net, date) AS cur, arg_max(net - before, date) AS wk FROM y GROUP BY 1) SELECT l.label, l.as_of, round(l.cur, 5) AS net_spec_pct_oi, round(l.wk, 5) AS wk_change, round(100 * avg(CASE WHEN net <= cur THEN 1.0 ELSE 0.0 END), 5) AS pct_3y FROM y JOIN l USING (label) GROUP BY ALL")
+def _(s, d):
+    # closed by a dash, as no name may be the start of another
+    cot = source.brand_bars(s, d).select(F.concat("ticker", F.lit(" -")).alias("market"), "date", F.col("ticker").alias("code"), F.col("close").alias("oi"), F.col("high").alias("nc_long"), F.col("low").alias("nc_short"))
+    markets = cot.select(F.col("code").alias("label"), F.lower("market").alias("prefix")).distinct()
+    return rounded(macro.positioning(cot, markets), ["label", "as_of"], net_spec_pct_oi=5, wk_change=5, pct_3y=5)
+
+
 @query("ml_labels", f"WITH {_FEATURES}, f AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY fwd_ret NULLS LAST) + (count(*) OVER (PARTITION BY date, fwd_ret) - 1) / 2.0) / count(fwd_ret) OVER (PARTITION BY date) AS r FROM feat) SELECT ticker, date, CASE WHEN fwd_ret IS NOT NULL THEN CASE WHEN r > 0.7 THEN 1.0 ELSE 0.0 END END AS label FROM f")
 def _(s, d):
     return ml.labels(lite(s, d)).select("ticker", "date", "label")
@@ -694,9 +711,8 @@ def _(s, d):
 
 @query("ml_walk_forward")
 def _(s, d):
-    rows = crosssection.group_scores(crosssection.zscores(lite(s, d), _ALL), config.TECHNICAL).withColumn("regime", F.lit("NEUTRAL"))
-    settings = config.load({"ml": {"max_iter": 5, "step": 60, "every": 1}})
-    return ml.metrics(ml.walk_forward(rows, settings, features=["g_momentum", "g_volume", "clenow", "cmf20", "close_range3"]))
+    """All features, the computed regime, a refit each 20 dates and the reference's 150 rounds."""
+    return ml.metrics(ml.walk_forward(scored(s, d), config.load({"ml": {"max_iter": 150}})))
 
 
 # -- reports
