@@ -7,14 +7,25 @@ bytes is certain. Texts are cut there, the fragments are encoded independently
 and their ids are concatenated. The result equals that of encoding the whole
 text, since every merge joins bytes of one fragment only.
 
-Two kinds of boundary are used. Between a character that ends a run of
-non-blanks and the one blank before the next run, the text itself is split:
-the pre-tokenizer starts a new piece there whatever follows, so no token spans
-it. Inside a piece, every forbidden byte pair cuts again.
+Two kinds of boundary are used. The end of a character that is no white space,
+followed by a blank, stands in no token (checked when a vocabulary is loaded);
+where such a blank is followed by a character that is no white space either, the
+pre-tokenizer starts a new piece too, so texts are cut there first. Inside a long unit every forbidden
+byte pair of its pieces cuts again. Short units that a worker has not seen are
+encoded together, laid end to end, and told apart by the blanks that only begin
+tokens.
+
+Both need the byte-level pre-tokenizer and plain merges that a vocabulary file
+states; a file that states anything else (a normalizer, another pattern,
+stripped or single-word added tokens) is encoded by the library text by text.
+
+Merges inside a fragment are done by a compiled merger (tiktoken) that is given
+the file's own vocabulary as ranks, where the file's merges are in the order of
+its ids; the ids equal those of the tokenizers library, to which tests hold them.
 
 Defined cases: null text counts as empty and gives no ids. A special token's
-literal string is one id, as the tokenizers library has it. The merges inside a
-fragment are the library's own.
+literal string is one id, as the tokenizers library has it. Texts of any length
+are encoded whole. Repeated rows give equal rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,6 +33,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,12 +41,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 #: A blank between two characters that are no white space; white space other than blanks and line ends.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-#: Units whose pieces are plain to see: runs of Latin letters, digits, signs (no apostrophe) and single line ends.
-PLAIN = re.compile(r" ?(?=[^\s])(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=[^\s]))+")
-PLAIN_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+OTHER_SPACE = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n "]
+# Fixed value: the pieces into which a byte-level pre-tokenizer cuts.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longest unit that is kept in the table of seen ones, and that is encoded together with others.
+SHORT = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,120 +59,195 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class _Seen(dict):
-    """Packed ids by unit (without its leading blank); emptied when it has grown to `most` entries."""
+class _Seen:
+    """Packed ids by unit, in two generations of at most `most` entries: what is used again moves to the new one."""
 
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        got = self.encode(" " + unit)
-        if len(unit) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = got
-        return got
+    def missing(self, units: set[str]) -> list[str]:
+        """Those of the units that have no ids yet; the others are in `new` afterwards."""
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        wanted = units - self.new.keys()
+        known = wanted & self.old.keys()
+        self.new.update((u, self.old[u]) for u in known)
+        return list(wanted - known)
 
 
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, keep: int = 300_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, keep: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
-        self.pieces, self.merges = library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
-        self.letters = byte_letters()
-        raw = lambda token: bytes(self.letters[c] for c in token)
-        self.ids = {raw(token): i for token, i in spec["model"]["vocab"].items()}
-        self.printed = {b: c for c, b in self.letters.items()}
+        self.path, self.letters = path, byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = 1 + max([*self.ids.values(), *self.special.values()])
+        self.certain = self._is_byte_level(spec) and self._load(spec)
+        self.seen = _Seen(keep)
+
+    @functools.cached_property
+    def library(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    def _load(self, spec: dict) -> bool:
+        """Tables of a byte-level vocabulary; False if its tokens or merges are not in the order that cuts and ranks need."""
+        raw = lambda token: bytes(self.letters[c] for c in token)
+        ids = {raw(token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [ids[raw(a + b)] for a, b in pairs]
+        inner = [token for token in ids if re.search(rb"[^ ] ", token)]
+        if len(ids) != 256 + len(made) or any(a >= b for a, b in zip(made, made[1:])) or not all(t.decode("utf-8", "replace").isspace() for t in inner):
+            return False
+        size = 1 + max([*ids.values(), *self.special.values()])
         self.bytes_of = [b""] * size
-        for token, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
+        for token, i in [*ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = token
         self.decimal = [str(i) for i in range(size)]
         self.cut = np.ones((256, 256), bool)
-        for token in self.ids:
+        for token in ids:
             for a, b in zip(token, token[1:]):
                 self.cut[a, b] = False
+        self.begins = np.array([t[:1] == b" " for t in self.bytes_of])
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.inside = {token[i : i + 2] for token in self.ids for i in range(len(token) - 1)}
-        self.seen = _Seen(self._unit, keep)
+        import tiktoken
+
+        merger = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ids, special_tokens={})
+        self.whole, self.merged = merger.encode_ordinary, merger._core_bpe.encode_single_piece
+        return True
+
+    @staticmethod
+    def _is_byte_level(spec: dict) -> bool:
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = [before.get("type") == "ByteLevel", not before.get("add_prefix_space"), before.get("use_regex", True), not spec.get("normalizer"), (spec.get("decoder") or {}).get("type") == "ByteLevel", model.get("type") == "BPE"]
+        plain += [not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        return all(plain) and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
 
     # -- encoding
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """A pre-tokenized piece, cut at every byte pair that no token holds."""
-        if len(piece) > 256:
-            b = np.frombuffer(piece, np.uint8)
-            at = (np.flatnonzero(self.cut[b[:-1], b[1:]]) + 1).tolist()
-        else:
-            at = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.inside]
+        b = np.frombuffer(piece, np.uint8)
+        at = (np.flatnonzero(self.cut[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def _unit(self, unit: str) -> bytes:
-        """Ids, packed, of a stretch of text that begins and ends at certain boundaries."""
-        if PLAIN.fullmatch(unit):
-            pieces = [p.encode() for p in PLAIN_PIECE.findall(unit)]
-        else:
-            pieces = [bytes(map(self.letters.__getitem__, w)) for w, _ in self.pieces(unit)]
-        ids = [t.id for piece in pieces for f in self.fragments(piece) for t in self.merges(f.decode("latin-1").translate(self.printed))]
+    def _long(self, unit: str) -> bytes:
+        """Ids, packed, of a long stretch of text that begins and ends at certain boundaries."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        known: dict[bytes, list[int]] = {}
+        ids: list[int] = []
+        for word, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(unit):
+            for f in self.fragments(bytes(map(self.letters.__getitem__, word))):
+                if f not in known:
+                    known[f] = self.merged(f) if len(f) <= 4 * SHORT else [t.id for t in self.library.model.tokenize(self._printed(f))]
+                ids += known[f]
         return np.array(ids, "<u4").tobytes()
 
-    @staticmethod
-    def _spaced_plainly(run: str) -> bool:
-        """Whether every blank stands between two characters that are no white space."""
-        if run[0].isspace() or run[-1].isspace():
-            return False
-        return not any(x in run for x in ("  ", " \n", "\n ", *OTHER_SPACE))
+    def _printed(self, data: bytes) -> str:
+        back = {b: c for c, b in self.letters.items()}
+        return "".join(back[b] for b in data)
+
+    def _learn(self, units: list[str]) -> None:
+        """Ids of new units, each led by its blank."""
+        table, together = self.seen.new, []
+        for u in units:
+            if len(u) <= SHORT and " " not in u and not u[-1].isspace():
+                together.append(u)
+            else:
+                table[u] = self._long(" " + u)
+        for at in range(0, len(together), 4096):
+            some = together[at : at + 4096]
+            ids = np.array(self.whole(" " + " ".join(some)), "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            assert len(first) == len(some)
+            ends = (4 * np.append(first[1:], len(ids))).tolist()
+            data, begin = ids.tobytes(), 0
+            for u, end in zip(some, ends):
+                table[u] = data[begin:end]
+                begin = end
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts as unsigned 32-bit numbers."""
+        if not self.certain:
+            return [np.array(self.library.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
+        plans: list[list[tuple[str | None, str, list[str]]]] = []
+        every: set[str] = set()
+        for text in texts:
+            plan = []
+            for k, run in enumerate(self.marks.split(text) if text and self.marks else [text or ""]):
+                if k % 2:
+                    plan.append((run, "", []))
+                elif run:
+                    plainly = not (run[0].isspace() or run[-1].isspace() or any(x in run for x in OTHER_SPACE))
+                    first, *units = run.split(" ") if plainly else BETWEEN.split(run)
+                    every.update(units)
+                    plan.append((None, first, units))
+            plans.append(plan)
+        self._learn(self.seen.missing(every))
+        ids_of, out = self.seen.new.__getitem__, []
+        for plan in plans:
+            parts = []
+            for special, first, units in plan:
+                parts.append(np.array([self.special[special]] if special is not None else self.whole(first) if len(first) <= SHORT else [], "<u4").tobytes() or self._long(first))
+                parts += map(ids_of, units)
+            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        for u in [u for u in every if len(u) > SHORT]:
+            del self.seen.new[u]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text as unsigned 32-bit numbers."""
-        if not text:
-            return np.zeros(0, "<u4")
-        runs = self.marks.split(text) if self.marks else [text]
-        out = []
-        for k, run in enumerate(runs):
-            if k % 2:
-                out.append(np.array([self.special[run]], "<u4").tobytes())
-            elif run:
-                first, *units = run.split(" ") if self._spaced_plainly(run) else BETWEEN.split(run)
-                out.append(self._unit(first))
-                out += map(self.seen.__getitem__, units)
-        return np.frombuffer(b"".join(out), "<u4")
+        return self.encode_all([text])[0]
 
     # -- decoding
 
     def decode(self, ids: np.ndarray) -> str:
+        if not self.certain:
+            return self.library.decode(ids.tolist(), skip_special_tokens=False)
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
     def joined(self, ids: np.ndarray) -> str:
-        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+        return ",".join(map(self.decimal.__getitem__, ids.tolist())) if self.certain else ",".join(map(str, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """A worker's codec for a vocabulary file; the file is read where the task runs."""
     return Codec(path)
 
 
 def encoded(frames: Iterator, path: str) -> Iterator:
-    """(frame, ids of each text) for each 256 rows of a task, so that few ids are held at once."""
+    """(frame, ids of each text) for each 256 rows or some MB of a task, so that few ids are held at once."""
     c = codec(path)
     for frame in frames:
-        for at in range(0, len(frame), 256):
-            part = frame.iloc[at : at + 256]
-            yield part, [c.encode(t) for t in part["text"]]
+        for part in slices(frame["text"].tolist()):
+            yield frame.iloc[part], c.encode_all(frame["text"].iloc[part].tolist())
+
+
+def slices(texts: list[str | None], rows: int = 256, chars: int = 2_000_000) -> Iterator[slice]:
+    """Slices of at most so many rows, or of so many characters; a longer text stands alone."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > start and (i - start >= rows or size + n > chars):
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
     """The token ids of each whole text: id, ids."""
     kind = docs.schema[id_column].dataType.simpleString()
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ids in encoded(frames, path):
             yield pd.DataFrame({id_column: frame[id_column].to_numpy(), "ids": [i.astype("i4") for i in ids]})
@@ -169,6 +259,7 @@ def decode_documents(tokens: DataFrame, path: str, id_column: str = "doc_id") ->
     """The text of each row of ids (null ids: null text)."""
     kind = tokens.schema[id_column].dataType.simpleString()
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for frame in frames:
@@ -181,6 +272,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Digests of each document's ids and of the text that decoding them gives."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,31 +24,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (a test on one machine) a temporary
+    Only where that setting is absent on one machine (a test) a temporary
     folder takes its place, and is then remembered in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+class _Cleaning:
+    """While any write runs, Spark removes a query's shuffle files as soon as it has ended; then the setting is as before."""
+
+    name, lock, users, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", threading.Lock(), 0, "false"
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        with self.lock:
+            if not _Cleaning.users:
+                _Cleaning.before = self.conf.get(self.name, "false")
+                self.conf.set(self.name, "true")
+            _Cleaning.users += 1
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            _Cleaning.users -= 1
+            if not _Cleaning.users:
+                self.conf.set(self.name, _Cleaning.before)
+
+
+def _folder_of(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/tideline-{tag}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when the write has ended
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
+    with _Cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    files, where = _folder_of(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out.tideline_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what materialize() wrote, once everything that reads it is written itself."""
+    for df in tables:
+        if path := getattr(df, "tideline_path", None):
+            files, where = _folder_of(df.sparkSession, path)
+            files.delete(where, True)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the task's Python memory goes back to the system: workers are kept for the next task, which may be another operator's."""
+
+    @functools.wraps(run)
+    def inner(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoded
-from .common import materialize
+from .common import frugal, materialize
 
 
 class TightestFit:
@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     """One row a piece, with its part (the task) and its rank among the task's pieces of its length."""
     kind = docs.schema[id_column].dataType.simpleString()
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4")
@@ -139,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     shared = docs.sparkSession.sparkContext.broadcast((starts, *(places[c].to_numpy() for c in ("rank", "each", "seq", "offset"))))  # a few rows for each of `window` lengths
     joined = cut.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, rank, each, seq, offset = shared.value
         for frame in frames:
