@@ -159,20 +159,53 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert 3 < len(set(comp)) < len(texts) and got["class_id"].tolist() == comp
 
 
+def covered(symbols: list, length: int) -> list[bytearray]:
+    """Marks on every symbol of a run of `length` that starts twice."""
+    count = Counter(tuple(b[i : i + length]) for b in symbols for i in range(len(b) - length + 1))
+    out = []
+    for b in symbols:
+        mark = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[tuple(b[i : i + length])] > 1:
+                mark[i : i + length] = b"\1" * length
+        out.append(mark)
+    return out
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_repeated_passages(docs, none, most):
-    rows = suffix_dedup.repeats(docs, 100, most).toPandas()
-    data = [(t or "").encode() for t in [*TEXTS, BASE, BASE]]
-    count = Counter(b[i : i + 100] for b in data for i in range(len(b) - 99))
-    want = []
-    for b in data:
-        mark = bytearray(len(b))
-        for i in range(len(b) - 99):
-            if count[b[i : i + 100]] > 1:
-                mark[i : i + 100] = b"\1" * 100
-        want.append((len(b), sum(mark), hashlib.sha256(bytes(x for x, m in zip(b, mark) if not m)).hexdigest()))
-    assert sorted(want) == sorted(zip(rows["n_bytes"], rows["n_removed"], rows["kept_sha256"]))
-    assert suffix_dedup.repeats(none).count() == 0
+    shared = prose(25, 8).split()
+    more = [" ".join([*prose(12, 30).split(), *shared, "x"]), "\n".join(["y", *(w.upper() for w in shared), *prose(40, 31).split()])]
+    own = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(50 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    rows = suffix_dedup.repeats(own, 100, most, words=20).toPandas()
+    texts = [*((t or "") for t in TEXTS), BASE, BASE, *more]
+    data = [t.encode() for t in texts]
+    words = [re.findall(r"[^\x20\x09-\x0d]+", t.lower()) for t in texts]
+    want = [(len(b), sum(m), len(re.findall(b"\1+", m)), hashlib.sha256(bytes(x for x, k in zip(b, m) if not k)).hexdigest(), sum(n)) for b, m, n in zip(data, covered(data, 100), covered(words, 20))]
+    assert sorted(want) == sorted(zip(rows["n_bytes"], rows["n_removed"], rows["n_spans"], rows["kept_sha256"], rows["n_repeated_words"]))
+    assert sum(w[1] == 0 < w[4] for w in want) == 2  # the same words in other letters and spaces
+    assert suffix_dedup.repeats(none, words=20).count() == 0
+
+
+def test_anchors_of_very_long_texts(monkeypatch):
+    """Looked at in pieces, a text has the anchors that it has as a whole."""
+    data, sizes = suffix_dedup.symbols([prose(900, 12).encode()], suffix_dedup.BYTE)
+    whole = list(zip(*suffix_dedup.anchors(data, sizes, 100)))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    pieces = list(zip(*suffix_dedup.anchors(data, sizes, 100)))
+    starts = lambda found: {(p, s, h) for _, h, p, a, b in found for s in range(a, b + 1)}
+    assert len(pieces) > len(whole) and starts(pieces) == starts(whole)
+
+
+def test_texts_without_repeats(docs):
+    """Other columns stay, also those with names that the operator uses itself."""
+    clash = docs.select("doc_id", "text", F.lit(1).alias("ck"), F.lit("a").alias("left_text"), F.lit(2).alias("n_copies"), F.lit(3).alias("spans"))
+    rows = suffix_dedup.without_repeats(clash, 100, words=20)
+    assert rows.columns == clash.columns and {(r["ck"], r["left_text"], r["n_copies"], r["spans"]) for r in rows.collect()} == {(1, "a", 2, 3)}
+    data = [t.encode() if t is not None else None for t in [*TEXTS, BASE, BASE]]
+    marks = covered([d or b"" for d in data], 100)
+    want = [None if d is None else bytes(x for x, k in zip(d, m) if not k).decode("utf-8", "ignore") for d, m in zip(data, marks)]
+    assert sorted(map(str, want)) == sorted(str(r["text"]) for r in rows.collect())
 
 
 def test_deep_shallow_order():

@@ -58,7 +58,8 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400)
+    """Bytes of repeated 400-byte strings; beside them the words in repeated runs of 50 words, which may be shorter than 400 bytes."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400, words=50)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,18 +17,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+KEPT = 1 << 21
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
+    """BASE**i and BASE**-i modulo 2**64 for i below n; a worker keeps tables of at most KEPT powers."""
+    found = _powers
     if len(_powers[0]) < n:
+        found = []
         with np.errstate(over="ignore"):
-            for k, base in enumerate((BASE, INVERSE)):
+            for base in (BASE, INVERSE):
                 step = np.full(n, base, np.uint64)
                 step[0] = 1
-                _powers[k] = np.cumprod(step)
-    return [p[:n] for p in _powers]
+                found.append(np.cumprod(step))
+        if n <= KEPT:
+            _powers[:] = found
+    return [p[:n] for p in found]
 
 
 class Chunk:
@@ -45,14 +50,21 @@ class Chunk:
         self.n_words = np.bincount(self.owner, minlength=len(texts))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.bytes)
-        if not n:
-            return np.zeros(0, np.uint64)
-        up, down = powers(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:n])])
-            own = (total[self.end] - total[self.first]) * down[self.first]
-            return mix64(own ^ mix64((self.end - self.first).astype(np.uint64)))
+        """Of each word; worked out for stretches of about KEPT / 2 bytes that begin with a word."""
+        out = np.empty(len(self.first), np.uint64)
+        at = 0
+        while at < len(self.first):
+            base = self.first[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + KEPT // 2, "right")))
+            first, end = self.first[at:to] - base, self.end[at:to] - base
+            n = int(end[-1])
+            up, down = powers(n + 1)
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n])])
+                own = (total[end] - total[first]) * down[first]
+                out[at:to] = mix64(own ^ mix64((end - first).astype(np.uint64)))
+            at = to
+        return out
 
 
 def shingles(chunk: Chunk, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
