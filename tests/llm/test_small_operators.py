@@ -375,3 +375,30 @@ def test_vantage_points(spark, factor):
         hit, n = hit + len(set(own["vec_id"]) & set(want)), n + 5
     assert hit / n >= 0.9 and len(got) == 75
     assert vptree.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_vantage_points_with_ties(spark):
+    """Integer vectors have many equal products: the smaller id goes first, wherever the cut falls."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(900, 8)).astype(float)
+    x = x[np.abs(x).sum(1) > 0]
+    ids = rng.permutation(len(x) * 3)[: len(x)]
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("shard", F.lit(2))
+    got = vptree.nearest(table, table.where("vec_id % 20 = 0"), k=20, shard_rows=400, block_rows=30).toPandas()
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[q]).sum(1)
+        want = [i for i in np.lexsort((ids, -score)) if i != q][:20]
+        own = got[got["query_id"] == ids[q]].sort_values("rank")
+        assert own["vec_id"].tolist() == ids[want].tolist() and np.array_equal(own["score"], score[want])
+
+
+def test_language_windows_equal_a_direct_convolution():
+    rng = np.random.default_rng(2)
+    net = langid_cnn.train([bytes(rng.integers(97, 123, 300).astype(np.uint8)) for _ in range(12)], ["a", "b", "c"] * 4, epochs=1)
+    x = rng.integers(0, 256, (5, langid_cnn.WINDOW)).astype(np.uint8)
+    e, pooled = net.embed[x], []
+    for w in langid_cnn.WIDTHS:
+        z = np.stack([sum(e[:, i + j] @ net.conv[w][j] for j in range(w)) + net.bias[w] for i in range(langid_cnn.WINDOW - w + 1)], 1)
+        pooled.append(np.maximum(z.max(1), 0))
+    assert np.allclose(langid_cnn.Tables(net).logits(x), np.concatenate(pooled, 1) @ net.out + net.out_bias, atol=1e-4)
+    assert langid_cnn.predict(langid_cnn.Tables(net), ["²½①_7", None, ""])[0] == ["und"] * 3

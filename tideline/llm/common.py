@@ -133,11 +133,12 @@ def lowest(rows: DataFrame, group: str, mark: str, most: int) -> DataFrame:
     An approximate count only bounds what is ranked, at about twice of what is
     kept; which rows are kept does not hang on it, nor on how rows are dealt.
     """
-    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.approx_count_distinct(mark).alias("n")).collect()}
-    near = F.lit(False)
-    for key, n in sorted((k, n) for k, n in counts.items() if k is not None):
-        share = (2 * most + 50) / max(1, n)
-        near = F.when(F.col(group) == key, F.col(mark) < int(share * 2.0**64) - 2**63 if share < 1 else F.lit(True)).otherwise(near)
+    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.approx_count_distinct(mark).alias("n")).collect() if r[group] is not None}
+    if not counts:
+        return rows.limit(0)
+    share = {key: min(1.0, (2 * most + 50) / max(1, n)) for key, n in sorted(counts.items())}
+    bounds = F.create_map(*(F.lit(x) for key, part in share.items() for x in (key, min(int(part * 2.0**64) - 2**63, 2**63 - 1))))
+    near = F.col(mark) <= F.element_at(bounds, F.col(group))
     order = W.partitionBy(group).orderBy(mark, *(c for c in rows.columns if c not in (group, mark)))
     return rows.where(near).distinct().withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
 

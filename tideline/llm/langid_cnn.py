@@ -8,13 +8,14 @@ embedding and the filters fold into lookup tables over one or two bytes, so
 inference is table reads and additions.
 
 Defined cases: a null text, an empty one and one without any letter get `und`
-with score 0. Rows with null ids are predicted like others. An empty table
-gives an empty result; where no labelled text exists every text is `und`.
+with score 0 (letters are what Unicode calls so, as str.isalpha has it). Rows
+with null ids are predicted like others, repeated rows alike, texts of any length
+by all their windows. Equal chances go to the first language by name. An empty
+table gives an empty result; where no labelled text exists every text is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowest
+from .common import frugal, lowest
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -54,7 +54,7 @@ def train(texts: list[bytes], langs: list[str], filters: int = 8, dims: int = 8,
     for text, lang in zip(texts, langs, strict=True):
         w = windows_of(text)
         for i in sorted({0, len(w) // 2, len(w) - 1}):
-            if LETTER.search(w[i].tobytes().decode("utf-8", "ignore")):
+            if any(map(str.isalpha, w[i].tobytes().decode("utf-8", "ignore"))):
                 rows.append(w[i])
                 goal.append(names.index(lang))
     x, y = np.array(rows, np.uint8).reshape(-1, WINDOW), np.array(goal, np.int64)
@@ -150,7 +150,7 @@ def predict(tables: Tables, texts: list[str | None], piece: int = 4096) -> tuple
     if not tables.net.langs:
         return langs, scores
     for i, text in enumerate(texts):
-        if text is None or not LETTER.search(text):
+        if text is None or not any(map(str.isalpha, text)):
             continue
         w = windows_of(text.encode("utf-8", "replace"))
         total = sum(tables.logits(w[at : at + piece]).astype(np.float64).sum(0) for at in range(0, len(w), piece)) / len(w)
@@ -160,14 +160,17 @@ def predict(tables: Tables, texts: list[str | None], piece: int = 4096) -> tuple
     return langs, scores
 
 
-def training_sample(docs: DataFrame, eligible: Column, per_lang: int = 600, chars: int = 2048) -> tuple[list[bytes], list[str]]:
+def training_sample(docs: DataFrame, eligible: Column, per_lang: int = 600, chars: int = 2048, most_langs: int = 200) -> tuple[list[bytes], list[str]]:
     """A bounded sample: the per_lang distinct texts of each language with the lowest hashes, a stretch of each.
 
-    Both parameters bound what the driver holds: languages x per_lang x chars.
+    The parameters bound what the driver holds: most_langs x per_lang x chars.
+    Where lang has more values, those of the most rows are learned (ties by name).
     The stretch starts at a place that the text's hash picks, so it is not
     always the opening.
     """
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    known = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
+    rows = rows.where(F.col("lang").isin(known))
     h = F.xxhash64("text")
     place = F.lit(1) + F.pmod(F.shiftright(h, 7), F.greatest(F.char_length("text") - F.lit(chars), F.lit(1)))
     stretches = rows.select("lang", F.substr("text", place.cast("int"), F.lit(chars)).alias("text"), h.alias("h"))
@@ -181,6 +184,7 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     holder: list[Tables] = []
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not holder:
             holder.append(Tables(shared.value))
