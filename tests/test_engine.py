@@ -75,6 +75,19 @@ def test_sleeve_fixture(spark):
     assert {r["market"]: round(r["budget"], 6) for r in rows} == {"uae": 2040.0, "us": 1400.0}
 
 
+def test_sleeves_are_scaled_only_beyond_the_cap(spark):
+    rows = spark.createDataFrame([("uae", "RISK_ON", 9.0), ("us", "RISK_ON", 9.0)], "market string, regime string, ic_t double")
+    budgets = lambda cap: {r["market"]: round(r["budget"], 6) for r in plan.market_sleeves(rows, config.load({"allocation": {"deploy_pct": cap}})).collect()}
+    assert budgets(80.0) == {"uae": 4000.0, "us": 10000.0} and budgets(35.0) == {"uae": 2000.0, "us": 5000.0}
+
+
+def test_kelly_and_ex_dividend(spark):
+    rows = spark.createDataFrame([(0.5, 2.0, -1.0), (1.0, 2.0, -1.0), (0.5, 2.0, 1.0), (0.5, -1.0, -1.0), (0.2, 1.0, -1.0)], "p double, w double, l double")
+    assert [r[0] for r in rows.select(plan.kelly(F.col("p"), F.col("w"), F.col("l"))).collect()] == [0.25, None, None, None, 0.0]
+    flag = rules.ex_dividend_flag(F.lit("2024-01-05").cast("date"), F.lit("2024-01-02").cast("date"), 21)
+    assert spark.range(1).select(flag).first()[0] == "Ex-dividend 2024-01-05"
+
+
 def test_greedy_selection(spark):
     cfg = config.load()
     rows = [("us", "RISK_OFF", t, c, e, False, "", u, 10.0, 100.0, s) for t, c, e, u, s in [("A", 90.0, True, 1.0, "x"), ("B", 80.0, True, 1.0, "y"), ("C", 85.0, False, 1.0, "x"), ("D", 70.0, True, 0.0, "x"), ("E", 60.0, True, 1.0, "z"), ("F", 50.0, True, 1.0, "z")]]
@@ -94,15 +107,46 @@ def _market(days: int = 90) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["market", "ticker", "date", "open", "low", "close", "atr", "composite", "uptrend", "adv20", "regime"])
 
 
-def test_simulation_invariants():
+def test_simulation_invariants(spark):
     cfg = config.load()
-    trades, equity = backtest.simulate(_market(), cfg, 0.0)
-    assert trades and len(equity) == 90 and all(v > 0 for _, v in equity)
-    assert {t[9] for t in trades} <= {"gap_stop", "stop", "time_stop", "max_hold", "regime_exit"}
-    opens = [(t[1], t[2]) for t in trades]
+    rows = spark.createDataFrame(_market().astype(object).values.tolist(), "market string, ticker string, date date, open double, low double, close double, atr double, composite double, uptrend double, adv20 double, regime string")
+    trades, equity = (x.collect() for x in backtest.simulate(rows, cfg))
+    assert trades and len(equity) == 90 and all(r["equity"] > 0 for r in equity)
+    assert {t["reason"] for t in trades} <= {"gap_stop", "stop", "time_stop", "max_hold", "regime_exit"}
+    opens = [(t["entry_date"], t["exit_date"]) for t in trades]
     for day in {a for a, _ in opens}:
         assert sum(a <= day < b for a, b in opens) <= cfg["risk"]["max_positions"]["RISK_ON"]
-    assert backtest.simulate(_market(40), cfg, 0.0) == ([], [])
+    short = backtest.simulate(rows.where("date < '2024-02-10'"), cfg)
+    assert [x.count() for x in short] == [0, 0]
+
+
+def test_simulation_by_hand(spark):
+    """Six names, one of them ever in an uptrend: each exit reason at the price and bar worked out by hand."""
+    cfg = config.load({"risk": {"slippage_pct": 0.0, "commission_pct": 0.0}})
+    start = d.date(2024, 1, 1)
+
+    def run(bars: dict[int, tuple], regimes: dict[int, str] | None = None) -> tuple:
+        rows = []
+        for t in "ABCDEF":
+            for k in range(70):
+                o, low, c = bars.get(k, (100.0, 99.0, 100.0)) if t == "A" else (100.0, 99.0, 100.0)
+                rows.append(("m", t, start + d.timedelta(k), o, low, c, 5.0, 1.0, float(t == "A" and k == 0), 1e9, (regimes or {}).get(k, "RISK_ON")))
+        table = spark.createDataFrame(rows, "market string, ticker string, date date, open double, low double, close double, atr double, composite double, uptrend double, adv20 double, regime string")
+        trades, equity = (x.collect() for x in backtest.simulate(table, cfg))
+        assert len(trades) == 1 and len(equity) == 70
+        return trades[0], sorted(equity)
+
+    # 1 % of 1.0 over a risk of 10 a unit: 0.001 units; the first stop is 90
+    trade, curve = run({4: (89.0, 88.0, 95.0)})
+    assert (trade["reason"], trade["exit"], trade["bars"], round(trade["pnl"], 9)) == ("gap_stop", 89.0, 3, -0.011) and abs(curve[-1]["equity"] - 0.989) < 1e-12
+    assert run({4: (95.0, 88.0, 95.0)})[0].asDict().items() >= {"reason": "stop", "exit": 90.0, "bars": 3}.items()
+    # a close of 120 earns 100 (entry) and 120 - 2.5 * 5 = 107.5; the next bar falls to it
+    trade, curve = run({3: (100.0, 99.0, 120.0), 4: (110.0, 100.0, 101.0)})
+    assert (trade["reason"], trade["exit"], trade["bars"]) == ("stop", 107.5, 3) and abs(curve[3]["equity"] - 1.02) < 1e-12 and abs(curve[4]["equity"] - 1.0075) < 1e-12
+    assert run({})[0].asDict().items() >= {"reason": "time_stop", "exit": 100.0, "bars": 15, "exit_date": start + d.timedelta(15)}.items()
+    slow = {k: (106.0, 105.0, 106.0) for k in range(2, 70)}
+    assert run(slow)[0].asDict().items() >= {"reason": "max_hold", "exit": 106.0, "bars": 25}.items()
+    assert run({}, {5: "CRISIS"})[0].asDict().items() >= {"reason": "regime_exit", "exit": 100.0, "bars": 5}.items()
 
 
 def test_sources(spark):
@@ -117,7 +161,7 @@ def test_sources(spark):
 def test_engine_scan_and_plan(spark, tmp_path):
     engine = Engine(spark, {"markets": {"brand": {"currency": "USD", "atr_ideal": 2.5, "ppy": 52, "adv_floor": 0.0, "min_price": 0.0, "base": 1.0}}})
     bars = source.brand_bars(spark, "/root/testdata/sf0.01")
-    bars = bars.where(F.col("ticker").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#31"))
+    bars = bars.where(F.col("ticker").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#23"))
     scan = engine.scan(bars, bars.where("ticker = 'Brand#11'").drop("ticker"))
     rows = scan.candidates.select("ticker", "setup", "conviction", "selected").collect()
     assert len(rows) == 6 and all(1 <= r["conviction"] <= 99 for r in rows)

@@ -100,8 +100,9 @@ def conviction(score: Column) -> Column:
     return 100 / (1 + F.exp(-1.6 * score))
 
 
-def adjusted_conviction(base: Column, eligible: Column, earnings_flag: Column, liquid: Column) -> Column:
-    off = F.when(~eligible, 10).otherwise(0) + F.when(F.coalesce(earnings_flag, F.lit("")) != "", 10).otherwise(0) + F.when(~liquid, 8).otherwise(0)
+def adjusted_conviction(base: Column, setup_allows: Column, earnings_flag: Column, liquid: Column) -> Column:
+    """Less 10 for a setup that is not to be traded, 10 for near earnings, 8 for thin trading."""
+    off = F.when(~setup_allows, 10).otherwise(0) + F.when(F.coalesce(earnings_flag, F.lit("")) != "", 10).otherwise(0) + F.when(~liquid, 8).otherwise(0)
     return clip(base - off, 1, 99)
 
 

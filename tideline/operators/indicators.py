@@ -106,7 +106,7 @@ def donchian(n: int) -> tuple[Column, Column]:
 
 def sliding(rows: DataFrame, horizon: int = 15) -> DataFrame:
     """Every measure that a frame gives; needs inputs(). ppy (periods a year) is a column."""
-    c, v = F.col("close"), F.col("volume")
+    c, v = F.col("close"), F.coalesce("volume", F.lit(0.0))  # a missing volume counts as none
     change = c - F.lag("close").over(by_date())
     mid, sd = sma(c, 20), rolling(F.stddev_pop, c, by_date(), 20)
     rows = rows.withColumns({

@@ -64,17 +64,22 @@ def planned(rows: DataFrame, cfg: dict) -> DataFrame:
     return out.withColumns({p: F.when(ok, F.col(p)) for p in plan}).drop("raw_units", "capped")
 
 
+def setup_allows() -> Column:
+    """Whether the setup itself may be traded, whatever the instrument."""
+    return by_key(F.col("setup"), {k: v[2] for k, v in SETUPS.items()}, False)
+
+
 def eligible(cfg: dict) -> Column:
     """Setup may be traded, the instrument is liquid and dear enough, and there is a plan."""
-    may = by_key(F.col("setup"), {k: v[2] for k, v in SETUPS.items()}, False)
     floor = by_key(F.col("market"), {m: float(s["adv_floor"]) for m, s in cfg["markets"].items()}, 0.0)
     price = by_key(F.col("market"), {m: float(s["min_price"]) for m, s in cfg["markets"].items()}, 0.0)
-    return F.coalesce(may & (F.col("adv20") >= floor) & (F.col("close") >= price) & F.col("r").isNotNull(), F.lit(False))
+    return F.coalesce(setup_allows() & (F.col("adv20") >= floor) & (F.col("close") >= price) & F.col("r").isNotNull(), F.lit(False))
 
 
 def kelly(win_rate: Column, avg_win: Column, avg_loss: Column) -> Column:
+    """Full Kelly share; null unless some trades win, some lose, wins are gains and losses are losses."""
     b = ratio(avg_win, F.abs(avg_loss))
-    return F.when((b > 0) & (win_rate > 0), F.greatest(F.lit(0.0), win_rate - (1 - win_rate) / b))
+    return F.when((win_rate > 0) & (win_rate < 1) & (avg_win > 0) & (avg_loss < 0), F.greatest(F.lit(0.0), win_rate - (1 - win_rate) / b))
 
 
 def sized(rows: DataFrame, cfg: dict) -> DataFrame:
@@ -140,9 +145,9 @@ def market_sleeves(states: DataFrame, cfg: dict, oil_bull: bool | None = None, d
         "base": by_key(F.col("market"), {m: float(s["base"]) for m, s in cfg["markets"].items()}, 0.0), "regime_mult": by_key(F.col("regime"), al["regime"], al["regime"]["NEUTRAL"]),
         "ic_mult": F.when(t >= al["ic_t_full"], 1.0).when(t > 0, al["ic_low"]).otherwise(al["ic_none"]), "macro_mult": by_key(F.col("market"), macro, 1.0),
     })
-    out = out.withColumn("share", F.col("base") * F.col("regime_mult") * F.col("ic_mult") * F.col("macro_mult") * al["deploy_pct"] / 100)
-    total = F.sum("share").over(W.partitionBy(F.lit(1)))  # three markets
-    return out.withColumn("budget", capital * F.col("share") / F.greatest(total, F.lit(1.0)))
+    out = out.withColumn("share", F.col("base") * F.col("regime_mult") * F.col("ic_mult") * F.col("macro_mult"))
+    total, most = F.sum("share").over(W.partitionBy(F.lit(1))), al["deploy_pct"] / 100  # three markets
+    return out.withColumn("budget", capital * F.col("share") * F.when((total > most) & F.lit(most > 0), most / total).otherwise(1.0))
 
 
 def holdings_review(holdings: DataFrame, candidates: DataFrame, cfg: dict) -> DataFrame:

@@ -16,8 +16,9 @@ def by_date() -> WindowSpec:
 
 
 def statistics(bench: DataFrame) -> DataFrame:
+    """Dates without a close are no dates of the benchmark."""
     c = F.col("close")
-    out = bench.withColumns({
+    out = bench.where("close is not null").withColumns({
         "sma200": rolling(F.avg, c, by_date(), 200, 120), "sma50": rolling(F.avg, c, by_date(), 50, 30),
         "log_ret": F.when(ratio(c, F.lag("close").over(by_date())) > 0, F.ln(ratio(c, F.lag("close").over(by_date())))),
     })

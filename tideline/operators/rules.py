@@ -108,19 +108,19 @@ def macro_warnings(events: DataFrame, as_of: Column, horizon: int) -> DataFrame:
 
 
 def ex_dividend_flag(next_date: Column, as_of: Column, window: int) -> Column:
-    days = F.datediff(next_date, as_of)
-    return F.when(days.between(0, window), F.concat(F.lit("ex-dividend in "), days.cast("string"), F.lit("d"))).otherwise("")
+    near = F.datediff(next_date, as_of).between(0, window)
+    return F.when(near, F.concat(F.lit("Ex-dividend "), next_date.cast("date").cast("string"))).otherwise("")
 
 
 def message_counts(messages: DataFrame, as_of: Column) -> DataFrame:
-    """By ticker: messages of a day and a week, a day's rate over the span seen, bullish share of at least three tagged."""
+    """By ticker: messages of a day and a week, a day's rate since the oldest, bullish share of at least three tagged."""
     hours = (F.unix_micros(as_of) - F.unix_micros("ts")) / 3600e6
     tagged = F.count(F.when(F.col("tag").isin("bullish", "bearish"), 1))
-    span = F.greatest((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 3600e6, F.lit(1e-9))
+    span = F.max(hours)
     bull = F.count(F.when(F.col("tag") == "bullish", 1))
     return messages.groupBy("ticker").agg(
         F.count(F.when(hours <= 24, 1)).alias("messages_24h"), F.count(F.when(hours <= 168, 1)).alias("messages_7d"), bull.alias("bull"), (tagged - bull).alias("bear"),
-        F.when(F.count("*") > 1, F.count("*") / span * 24).alias("msgs_per_day"), F.when(tagged >= 3, bull / tagged).alias("bull_share"),
+        F.when(span > 0, F.count("*") / span * 24).alias("msgs_per_day"), F.when(tagged >= 3, bull / tagged).alias("bull_share"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import backtest, crosssection, indicators, macro, ml, plan, regime, rules
 from ..sources import bars as source
+from ..storage import once
 from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +65,8 @@ def regimes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return crosssection.score_panel(panel(spark, sf), regimes(spark, sf), CFG["weights"])
+    """The scored panel with all factors; made once for all queries that read it."""
+    return once(spark, ("scored", sf), lambda: crosssection.score_panel(panel(spark, sf), regimes(spark, sf), CFG["weights"]))
 
 
 # -- shared SQL
@@ -406,11 +408,11 @@ def _(rows):
     return rounded(crosssection.top(crosssection.latest(rows), 10), ["ticker", "date", "place"], composite=5)
 
 
-@both("conviction", f"WITH {COMP} SELECT ticker, date, round(100 / (1 + exp(-1.6 * composite)), 4) AS conviction, round(greatest(1, least(99, 100 / (1 + exp(-1.6 * composite)) - CASE WHEN adv20 >= 2000000 THEN 0 ELSE 8 END)) + 0 * composite, 4) AS adjusted FROM crk")
+@both("conviction", f"WITH {COMP} SELECT ticker, date, round(100 / (1 + exp(-1.6 * composite)), 4) AS conviction, round(greatest(1, least(99, 100 / (1 + exp(-1.6 * composite)) - CASE WHEN g_trend <= 0 THEN 10 ELSE 0 END - CASE WHEN adv20 >= 2000000 THEN 0 ELSE 8 END)) + 0 * composite, 4) AS adjusted FROM crk")
 def _(rows):
     c = crosssection.conviction(F.col("composite"))
     liquid = F.coalesce(F.col("adv20") >= 2_000_000, F.lit(False))
-    return rows.select("ticker", "date", F.round(c, 4).alias("conviction"), F.round(crosssection.adjusted_conviction(c, F.lit(True), F.lit(""), liquid), 4).alias("adjusted"))
+    return rows.select("ticker", "date", F.round(c, 4).alias("conviction"), F.round(crosssection.adjusted_conviction(c, F.col("g_trend") > 0, F.lit(""), liquid), 4).alias("adjusted"))
 
 
 @both("deciles", f"WITH {COMP} SELECT CAST(floor(least(comp_rank * 10, 9.999)) + 1 AS INT) AS decile, round(avg(fwd_ret) * 100, 5) AS mean_pct, round(median(fwd_ret) * 100, 5) AS median_pct, round(avg(CASE WHEN fwd_ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM crk WHERE comp_rank IS NOT NULL AND fwd_ret IS NOT NULL GROUP BY 1")
@@ -573,34 +575,38 @@ def _(s, d):
     return rounded(plan.holdings_review(held, candidates(s, d), CFG), ["ticker", "action"], value_aed=2, pnl_pct=4)
 
 
-@query("kelly", "SELECT l_linenumber AS k, round(CASE WHEN b > 0 AND p > 0 THEN greatest(0, p - (1 - p) / b) END, 6) AS f FROM (SELECT l_linenumber, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS p, avg(l_tax) / abs(avg(l_discount)) AS b FROM lineitem GROUP BY 1)")
+@query("kelly", "SELECT l_linenumber AS k, s AS sign, round(CASE WHEN p > 0 AND p < 1 AND w > 0 AND l < 0 THEN greatest(0, p - (1 - p) / (w / abs(l))) END, 6) AS f FROM (SELECT l_linenumber, s, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS p, avg(l_tax) AS w, s * avg(l_discount) AS l FROM lineitem, (VALUES (-1), (1)) v(s) GROUP BY 1, 2)")
 def _(s, d):
     rows = source.table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg((F.col("l_discount") > 0.04).cast("double")).alias("p"), F.avg("l_tax").alias("w"), F.avg("l_discount").alias("l"))
-    return rows.select("k", F.round(plan.kelly(F.col("p"), F.col("w"), F.col("l")), 6).alias("f"))
+    rows = rows.withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1))))
+    return rows.select("k", "sign", F.round(plan.kelly(F.col("p"), F.col("w"), F.col("sign") * F.col("l")), 6).alias("f"))
 
 
 # -- simulation
 
 
 def simulated(s: SparkSession, d: str) -> DataFrame:
-    """The scored panel with all factors."""
+    """What is simulated: the scored panel with all factors, under the market's liquidity floor."""
     return scored(s, d)
 
 
+FLOORS = {m: float(x["adv_floor"]) for m, x in CFG["markets"].items()}
+
+
 @query("backtest_trades")
 def _(s, d):
-    return backtest.trades(simulated(s, d), CFG)
+    return backtest.trades(simulated(s, d), CFG, FLOORS)
 
 
 @query("backtest_equity")
 def _(s, d):
-    return backtest.equity(simulated(s, d), CFG)
+    return backtest.equity(simulated(s, d), CFG, FLOORS)
 
 
 @query("backtest_metrics")
 def _(s, d):
-    rows = simulated(s, d).persist()
-    return backtest.metrics(backtest.trades(rows, CFG), backtest.equity(rows, CFG), bench(s, d), 52)
+    trades, equity = backtest.simulate(simulated(s, d), CFG, FLOORS)
+    return backtest.metrics(trades, equity, bench(s, d), 52)
 
 
 @query("curve_metrics", f"""WITH {BARS}, c AS (SELECT date, close, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS ret, close / max(close) OVER (ORDER BY date) - 1 AS dd FROM bars WHERE ticker = 'Brand#11'), a AS (SELECT min(date) AS b, max(date) AS e, last(close ORDER BY date) / first(close ORDER BY date) AS g, min(dd) AS dd, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe, avg(CASE WHEN ret <> 0 THEN 1.0 WHEN ret = 0 THEN 0.0 END) AS tim FROM c)
@@ -646,13 +652,12 @@ def _(s, d):
     return rules.macro_warnings(dates, F.lit("1997-06-01").cast("date"), 10)
 
 
-@query("message_counts", "WITH e AS (SELECT *, max(ts) OVER () AS now FROM events) SELECT event_type AS ticker, count(CASE WHEN now - ts <= INTERVAL 24 HOUR THEN 1 END) AS messages_24h, count(CASE WHEN now - ts <= INTERVAL 168 HOUR THEN 1 END) AS messages_7d, count(CASE WHEN value > 60 THEN 1 END) AS bull, count(CASE WHEN value < 30 THEN 1 END) AS bear, round(count(CASE WHEN value > 60 THEN 1 END) / count(CASE WHEN value > 60 OR value < 30 THEN 1 END), 6) AS bull_share FROM e GROUP BY 1")
+@query("message_counts", "WITH e AS (SELECT *, max(ts) OVER () AS now FROM events) SELECT event_type AS ticker, count(CASE WHEN now - ts <= INTERVAL 24 HOUR THEN 1 END) AS messages_24h, count(CASE WHEN now - ts <= INTERVAL 168 HOUR THEN 1 END) AS messages_7d, count(CASE WHEN value > 60 THEN 1 END) AS bull, count(CASE WHEN value < 30 THEN 1 END) AS bear, round(count(CASE WHEN value > 60 THEN 1 END) / count(CASE WHEN value > 60 OR value < 30 THEN 1 END), 6) AS bull_share, round(count(*) * 24 / nullif(epoch(max(now) - min(ts)) / 3600, 0), 6) AS msgs_per_day FROM e GROUP BY 1")
 def _(s, d):
     e = source.table(s, d, "events")
-    last = e.agg(F.max("ts").alias("now"))  # one row
-    rows = e.join(last, F.lit(True)).select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("now").cast("timestamp").alias("now"), F.when(F.col("value") > 60, "bullish").when(F.col("value") < 30, "bearish").alias("tag"))
-    now = F.lit(last.first()[0]).cast("timestamp")
-    return rounded(rules.message_counts(rows, now), ["ticker", "messages_24h", "messages_7d", "bull", "bear"], bull_share=6)
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    rows = e.join(F.broadcast(now), F.lit(True)).select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("now").cast("timestamp").alias("now"), F.when(F.col("value") > 60, "bullish").when(F.col("value") < 30, "bearish").alias("tag"))
+    return rounded(rules.message_counts(rows, F.col("now")), ["ticker", "messages_24h", "messages_7d", "bull", "bear"], bull_share=6, msgs_per_day=6)
 
 
 @query("fundamental_factors", "SELECT p_partkey AS ticker, round(greatest(-1, least(1, p_size / 25.0 - 1)), 6) AS roe, round(-ln(1 + greatest(p_size - 10, 0) / 100.0), 6) AS low_leverage, round(least(1.0 / nullif(p_size, 0), 0.5), 6) AS earnings_yield, round(greatest(-0.3, least(0.3, p_size / p_retailprice)), 6) AS fcf_yield, round(greatest(-0.5, least(1, 1000 / p_retailprice - 1)), 6) AS target_upside FROM part")
@@ -686,8 +691,8 @@ def _(s, d):
 
 @query("positioning", f"WITH {BARS}, x AS (SELECT ticker AS label, date, 100 * (high - low) / nullif(close, 0) AS net FROM bars WHERE ticker LIKE 'Brand#1%'), y AS (SELECT *, lag(net) OVER (PARTITION BY label ORDER BY date) AS before FROM x), l AS (SELECT label, max(date) AS as_of, arg_max(net, date) AS cur, arg_max(net - before, date) AS wk FROM y GROUP BY 1) SELECT l.label, l.as_of, round(l.cur, 5) AS net_spec_pct_oi, round(l.wk, 5) AS wk_change, round(100 * avg(CASE WHEN net <= cur THEN 1.0 ELSE 0.0 END), 5) AS pct_3y FROM y JOIN l USING (label) GROUP BY ALL")
 def _(s, d):
-    cot = source.brand_bars(s, d).select(F.col("ticker").alias("market"), "date", F.col("ticker").alias("code"), F.col("close").alias("oi"), F.col("high").alias("nc_long"), F.col("low").alias("nc_short"))
-    markets = s.createDataFrame([(f"Brand#1{i}", f"brand#1{i}") for i in range(1, 6)], "label string, prefix string")
+    cot = source.brand_bars(s, d).where("ticker like 'Brand#1%'").select(F.concat("ticker", F.lit(" -")).alias("market"), "date", F.col("ticker").alias("code"), F.col("close").alias("oi"), F.col("high").alias("nc_long"), F.col("low").alias("nc_short"))
+    markets = cot.select(F.col("code").alias("label"), F.lower("market").alias("prefix")).distinct()
     return rounded(macro.positioning(cot, markets), ["label", "as_of"], net_spec_pct_oi=5, wk_change=5, pct_3y=5)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import backtest, crosssection, indicators, ml, plan, regime, rules
 from ..sources import bars as source
+from ..storage import stored
 
 
 @dataclass
@@ -63,20 +64,20 @@ class Engine:
         floor = plan.by_key(F.col("market"), {m: float(s["adv_floor"]) for m, s in self.cfg["markets"].items()}, 0.0)
         base = crosssection.blended(crosssection.conviction(F.col("composite_final")), F.col("ml_prob"), self.cfg["ml"]["blend"])
         liquid = F.coalesce(F.col("adv20") >= floor, F.lit(False))
-        return rows.withColumns({"liquid": liquid, "conviction": crosssection.adjusted_conviction(base, F.col("eligible"), F.col("earnings_flag"), liquid), "why": rules.explained(rows.columns)})
+        return rows.withColumns({"liquid": liquid, "conviction": crosssection.adjusted_conviction(base, plan.setup_allows(), F.col("earnings_flag"), liquid), "why": rules.explained(rows.columns)})
 
     def scan(self, bars: DataFrame, bench: DataFrame | None = None, **side) -> Scan:
         """Without a benchmark the equal-weight index stands in for the regime."""
         panel = self.panel(bars, bench)
         regimes = self.regimes(source.equal_weight_index(bars) if bench is None else bench, panel, side.pop("vix", None), side.pop("credit", None))
-        scored = self.scored(panel, regimes).persist()  # five things read it
+        scored = stored(self.scored(panel, regimes), "scored")  # five things read it
         returns = crosssection.last_returns(bars)
         rows = self.candidates(scored, regimes, **side)
         return Scan(scored, regimes, plan.select_portfolio(rows, crosssection.correlations(returns), self.cfg), returns)
 
     def backtest(self, scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         floors = {m: float(s["adv_floor"]) for m, s in self.cfg["markets"].items()}
-        trades, equity = backtest.trades(scored, self.cfg, floors), backtest.equity(scored, self.cfg, floors)
+        trades, equity = backtest.simulate(scored, self.cfg, floors)
         return trades, equity, backtest.metrics(trades, equity)
 
     def validate(self, universe: DataFrame, bars: DataFrame) -> DataFrame:
@@ -104,5 +105,5 @@ class Engine:
         picks = plan.sleeve_picks(c.join(holdings.select("market", "ticker"), ["market", "ticker"], "left_anti").drop("selected", "skip_reason"), budgets, crosssection.correlations(scan.returns), self.cfg)
         rows = plan.account_limits(plan.positions(plan.capped(plan.sleeve_weights(plan.with_live(picks), self.cfg), self.cfg), self.cfg), self.cfg)
         kept = review.where(~F.col("action").isin("EXIT", "REVIEW")).agg(F.coalesce(F.sum("value_aed"), F.lit(0.0)).alias("held_aed"))
-        cash = rows.agg(F.coalesce(F.sum("aed"), F.lit(0.0)).alias("new_aed")).join(kept, F.lit(True)).withColumn("cash_aed", F.lit(float(self.cfg["capital_aed"])) - F.col("new_aed") - F.col("held_aed"))
+        cash = rows.agg(F.coalesce(F.sum("aed"), F.lit(0.0)).alias("new_aed")).join(F.broadcast(kept), F.lit(True)).withColumn("cash_aed", F.lit(float(self.cfg["capital_aed"])) - F.col("new_aed") - F.col("held_aed"))
         return {"sleeves": budgets, "holdings": review, "positions": rows, "risk": plan.portfolio_risk(rows, scan.returns, self.cfg), "cash": cash}
