@@ -229,6 +229,38 @@ def test_suffix_tree_scores(docs, none):
     assert pst.score(none, F.lit(True)).count() == 0
 
 
+def test_scores_equal_brute_force(docs):
+    """The tree of contexts as tuples, one dictionary a length, on every text; and the base model."""
+    rows = pst.score(docs, F.coalesce(F.col("doc_id"), F.lit(0)) != 7, chunk_bytes=1500).toPandas()
+    texts = [*((t or "").encode().lower() for t in TEXTS), BASE.lower().encode(), BASE.lower().encode()]
+    train = [i != 7 for i in range(len(texts))]
+    words = [re.findall(rb"[^\x20\x09-\x0d]+", t) for t in texts]
+    seqs = [[pst.PAD] * 6 + list(b"".join(w + b" " for w in ws)) + [pst.END] for ws in words]
+    counts: dict[tuple, Counter] = {}
+    for seq, learn in zip(seqs, train):
+        for i in range(6, len(seq)):
+            for k in range(7):
+                counts.setdefault(tuple(seq[i - k : i]), Counter())[seq[i]] += learn
+    share = lambda c, s: counts[c][s] / max(1, sum(counts[c].values()))
+    states = {c for c in counts if len(c) > 1 and sum(n * np.log(share(c, s) / share(c[1:], s)) for s, n in counts[c].items() if n) >= 3.0}
+    states |= {c[i:] for c in states for i in range(len(c))}
+
+    def prob(context: tuple, symbol: int) -> float:
+        after = prob(context[1:], symbol) if context else 1 / 256
+        total, kinds = sum(counts[context].values()), sum(n > 0 for n in counts[context].values())
+        if (len(context) > 1 and context not in states) or not total:
+            return after
+        return (counts[context][symbol] + kinds * after) / (total + kinds)
+
+    scores = [sum(np.log10(prob(tuple(seq[i - 6 : i]), seq[i])) for i in range(6, len(seq))) for seq in seqs]
+    tokens = Counter(t for ws, learn in zip(words, train) if learn for t in [*ws, None])
+    whole = np.log10(tokens.total() + 0.1 * (len(tokens) + 1))
+    base = [sum(np.log10(tokens[t] + 0.1) - whole for t in [*ws, None]) for ws in words]
+    known = [sum(tokens[t] > 0 for t in [*ws, None]) for ws in words]
+    assert states and np.allclose(np.sort(scores), np.sort(rows["score"]), rtol=1e-4)
+    assert np.allclose(np.sort(base), np.sort(rows["base_score"])) and sorted(known) == sorted(rows["n_known"]) and set(rows["train_tokens"]) == {tokens.total()}
+
+
 def test_tree_is_a_distribution():
     """Over all 256 next symbols of a context the probabilities sum to one."""
     strings, _ = pst.symbol_strings([prose(300, 4).encode(), b"abc abd abe"])
@@ -237,7 +269,8 @@ def test_tree_is_a_distribution():
     context = own[0] >> np.uint64(8)
     every = np.unique(np.concatenate([own, (context << np.uint64(8)) + np.arange(256, dtype=np.uint64)]))
     count = np.where(np.isin(every, own), counts[np.searchsorted(keys, np.minimum(every, keys[-1]))], 0)
-    logs = pst.tree(every, count)
+    pairs = np.bincount(pst.symbol_strings([prose(300, 4).encode(), b"abc abd abe"], 1)[0].astype(int), minlength=65536).reshape(256, 256)
+    logs = pst.tree(every, count, pairs)
     assert abs((10.0 ** logs[(every >> np.uint64(8)) == context].astype(float)).sum() - 1) < 1e-4
 
 

@@ -2,40 +2,44 @@
 
 Symbols are the bytes of a text's lower-cased words, each word closed by a
 blank, and one end symbol. A state of the tree is a context of up to `depth`
-preceding symbols. Contexts of three symbols are always states; a longer one is
-kept if its next-symbol distribution diverges from that of its suffix: count
-times Kullback-Leibler divergence of at least `gain` nats; the suffixes of a
+preceding symbols. Contexts of no and of one symbol are always states; a longer
+one is kept if its next-symbol distribution diverges from that of its suffix:
+count times Kullback-Leibler divergence of at least `gain` nats; the suffixes of a
 state are states too. Distributions are smoothed by Witten-Bell interpolation
-with the suffix's, at the root with the uniform one. A text's score sums
+with the suffix's, that of no symbol with the uniform one. A text's score sums
 log10 P(symbol | longest state that is a suffix of what precedes).
 
 The base model beside it is a smoothed unigram model over words and text ends.
 
 At scale. Texts are dealt into chunks; a chunk names its distinct strings of
 depth+1 symbols with their training counts, sorted. Those go to shards by the
-last three context symbols, so that a shard has every count it needs for its
-part of the tree. The shard sends back the log-probability of each chunk's
+last two context symbols, so that a shard has every count it needs for its part
+of the tree; what lies above, the counts of pairs of symbols (65 536 numbers
+whatever the corpus), every task has. The shard sends back the log-probability of each chunk's
 strings, in the chunk's order, and the chunk adds them up along its texts.
 Neither counts nor tree are ever whole in one place; both grow with the corpus.
 
 Defined cases: null text counts as empty and scores its end symbol alone. A
 null id counts as an empty string for the split. Without training text every
 distribution is uniform. Repeated rows are scored (and learned) as often as
-they occur.
+they occur. Texts of any length are taken whole. Other columns are not looked at;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import batches_by_bytes, frugal, materialize, mix64
 from .words import LOWER, SPACE, Chunk
 
-DEPTH, ROOT = 6, 3
+DEPTH, ROOT = 6, 2
 END, PAD, BLANK = 10, 11, 32  # the first two are white space, so no word holds them
 TABLE = LOWER.copy()
 TABLE[SPACE] = BLANK
@@ -114,19 +118,55 @@ class Lookup:
         return out
 
 
-def tree(strings: np.ndarray, count: np.ndarray, depth: int = DEPTH, gain: float = 3.0) -> np.ndarray:
+def trunk(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From counts [context symbol, symbol]: the smoothed P(symbol | one symbol), and the plain shares."""
+    single = pairs.sum(0)
+    kinds, total = np.count_nonzero(single), single.sum()
+    none = (single + kinds / 256) / (total + kinds) if total else np.full(256, 1 / 256)
+    kinds, total = np.count_nonzero(pairs, axis=1)[:, None], pairs.sum(1, keepdims=True)
+    one = (pairs + kinds * none) / np.maximum(total + kinds, 1)
+    return np.where(total > 0, one, none), pairs / np.maximum(total, 1)
+
+
+def pair_counts(docs: DataFrame, train: Column) -> np.ndarray:
+    """How often each symbol follows each, over training rows."""
+
+    @frugal
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            count = np.zeros(65536, np.int64)
+            texts = [(t or "").encode("utf-8", "replace") for t in frame["text"]]
+            for part in batches_by_bytes(texts, 1_000_000):
+                count += np.bincount(symbol_strings(texts[part], 1)[0].astype(np.int64), minlength=65536)
+            at = np.flatnonzero(count)
+            yield pd.DataFrame({"pair": at, "n": count[at]})
+
+    rows = docs.where(train).select("text").mapInPandas(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 65 536
+    out = np.zeros(65536, np.int64)
+    for r in rows:
+        out[r["pair"]] = r["n"]
+    return out.reshape(256, 256)
+
+
+def tree(strings: np.ndarray, count: np.ndarray, pairs: np.ndarray, depth: int = DEPTH, gain: float = 3.0) -> np.ndarray:
     """log10 P of the last symbol of each string (ascending; all strings that share their last ROOT context symbols)."""
     n = len(strings)
     if not n:
         return np.zeros(0, np.float32)
     symbol = strings & np.uint64(255)
-    levels, parent, uniform = [], None, 1 / 256
+    top = (strings >> np.uint64(8 * depth)).astype(np.int64), symbol.astype(np.int64)
+    smooth, plain = trunk(pairs)
+    levels, parent = [], plain[top]
     for k in range(ROOT, depth + 1):
         context = strings >> np.uint64(8 * (depth - k) + 8)
         first = np.flatnonzero(np.diff(context, prepend=~context[:1]))
         group = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, n)))
-        order = np.sort((((group << np.uint64(8)) | symbol) << np.uint64(26)) | np.arange(n, dtype=np.uint64))
-        index, pair = (order & np.uint64((1 << 26) - 1)).astype(np.int64), order >> np.uint64(26)
+        if n >> 26:  # more than fits beside group and symbol in one number
+            index = np.lexsort((symbol, group))
+            pair = ((group << np.uint64(8)) | symbol)[index]
+        else:
+            order = np.sort((((group << np.uint64(8)) | symbol) << np.uint64(26)) | np.arange(n, dtype=np.uint64))
+            index, pair = (order & np.uint64((1 << 26) - 1)).astype(np.int64), order >> np.uint64(26)
         begin = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
         together = np.add.reduceat(count[index], begin)
         own = np.empty(n, np.int64)
@@ -136,12 +176,9 @@ def tree(strings: np.ndarray, count: np.ndarray, depth: int = DEPTH, gain: float
         kinds = np.bincount(at, together > 0, len(first))
         size, kind = total[group.astype(np.int64)], kinds[group.astype(np.int64)]
         share = own / np.maximum(size, 1)
-        if parent is None:
-            keep = np.ones(len(first), bool)
-        else:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                part = np.where(count > 0, count * np.log(share / parent), 0.0)
-            keep = np.add.reduceat(part, first) >= gain
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(count > 0, count * np.log(share / parent), 0.0)
+        keep = np.add.reduceat(part, first) >= gain
         levels.append((first, keep, own, size, kind))
         parent = share
     state = np.zeros(n, bool)
@@ -150,7 +187,7 @@ def tree(strings: np.ndarray, count: np.ndarray, depth: int = DEPTH, gain: float
         longer = np.maximum.reduceat(state, first)
         state = np.repeat(keep | longer, np.diff(np.append(first, n)))
         kept.append(state)
-    prob = np.full(n, uniform)
+    prob = smooth[top]
     for (_, _, own, size, kind), is_state in zip(levels, reversed(kept)):
         prob = np.where(is_state & (size > 0), (own + kind * prob) / np.maximum(size + kind, 1), prob)
     return np.log10(prob).astype(np.float32)
@@ -182,6 +219,8 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, gain: float = 3.0,
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text", train.alias("train")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
+    shared = docs.sparkSession.sparkContext.broadcast(pair_counts(docs, train))  # half a megabyte
+
     def sheet(frame: pd.DataFrame) -> Sheet:
         return Sheet([(t or "").encode("utf-8", "replace") for t in frame["text"]], frame["train"].to_numpy(bool), shards, depth)
 
@@ -209,7 +248,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, gain: float = 3.0,
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys, words = ([unpacked(x, "u8", True) for x in frame[c]] for c in ("keys", "words"))
         strings, count = gathered(keys, [unpacked(x, "i8") for x in frame["counts"]])
-        logs = tree(strings, count, depth, gain)
+        logs = tree(strings, count, shared.value, depth, gain)
         values = [packed(logs[np.searchsorted(strings, k)]) for k in keys]
         strings, count = gathered(words, [unpacked(x, "i8") for x in frame["word_counts"]])
         known = [packed(count[np.searchsorted(strings, k)]) for k in words]
