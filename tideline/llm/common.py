@@ -101,6 +101,12 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return inner
 
 
+def apart(docs: DataFrame, *keep: str) -> tuple[DataFrame, list]:
+    """docs with all columns but `keep` under names that clash with no operator's, and the columns that lead back."""
+    names = {c: c if c in keep else f"_own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -44,7 +44,7 @@ def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(secrets_forest.findings(table(spark, sf_dir, "documents")), "findings")
-    kept = secrets_forest.secrets(found)
+    kept = secrets_forest.secrets(found, labelled=materialize(secrets_forest.examples(spark), "examples"))
     return kept.select("doc_id", F.col("at").alias("word_index"), F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability")
 
 
