@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import bagminhash, langid_cnn, packing, secrets_forest, suffix_dedup
-from tideline.llm.common import materialize, mod_of_id
+from tideline.llm.common import apart, materialize, mod_of_id
 from tideline.llm.queries import byte_bpe
 
 #: A document goes if its text has no letter or no language reaches this score (four even chances give 0.25).
@@ -19,9 +19,18 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or of no language that was learned, go; null ids and repeated rows are judged like others."""
     net = langid_cnn.fit(docs, mod_of_id("doc_id", 5) != 0)
-    found = langid_cnn.identify(docs, net)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    own, back = apart(docs, "text")
+    found = langid_cnn.identify(own, net)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*back)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """n_chars after texts have changed, where there is such a column."""
+    if "n_chars" not in rows.columns:
+        return rows
+    return rows.withColumn("n_chars", F.char_length("text").cast(rows.schema["n_chars"].dataType))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +41,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs, length=400).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Every occurrence of a passage that occurs twice goes, of 400 bytes or of 50 words; null texts stay null, no row goes."""
+    return _counted(suffix_dedup.without_repeats(docs, length=400, words=50))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Accepted findings are replaced by a mark wherever they stand in the text; no row goes."""
     found = materialize(secrets_forest.findings(docs), "findings")
-    clean = secrets_forest.redact(docs, secrets_forest.secrets(found))
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    labelled = materialize(secrets_forest.examples(spark), "examples")
+    return _counted(secrets_forest.redact(docs, secrets_forest.secrets(found, labelled=labelled)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
