@@ -238,20 +238,23 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, gain: float = 3.0,
                 rows.append((key[0], s, packed(own.keys[a], True), packed(own.counts[a]), packed(own.word_keys[b], True), packed(own.word_counts[b])))
         return pd.DataFrame(rows, columns=["chunk", "shard", "keys", "counts", "words", "word_counts"])
 
-    def gathered(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k)
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
-        return k[first], np.add.reduceat(c, first) if len(first) else c
+    def gathered(keys: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of all messages with their sums, a few messages at a time."""
+        k, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for at in range(0, len(keys), 8):
+            k, c = (np.concatenate([own, *(unpacked(x, kind, kind == "u8") for x in new.iloc[at : at + 8])]) for own, new, kind in ((k, keys, "u8"), (c, counts, "i8")))
+            order = np.argsort(k)
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
+            k, c = k[first], np.add.reduceat(c, first) if len(first) else c
+        return k, c
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keys, words = ([unpacked(x, "u8", True) for x in frame[c]] for c in ("keys", "words"))
-        strings, count = gathered(keys, [unpacked(x, "i8") for x in frame["counts"]])
+        strings, count = gathered(frame["keys"], frame["counts"])
         logs = tree(strings, count, shared.value, depth, gain)
-        values = [packed(logs[np.searchsorted(strings, k)]) for k in keys]
-        strings, count = gathered(words, [unpacked(x, "i8") for x in frame["word_counts"]])
-        known = [packed(count[np.searchsorted(strings, k)]) for k in words]
+        values = [packed(logs[np.searchsorted(strings, unpacked(k, "u8", True))]) for k in frame["keys"]]
+        strings, count = gathered(frame["words"], frame["word_counts"])
+        known = [packed(count[np.searchsorted(strings, unpacked(k, "u8", True))]) for k in frame["words"]]
         stats = np.zeros((2, len(frame)), np.int64)
         stats[:, 0] = (count > 0).sum(), count.sum()
         return pd.DataFrame({"chunk": frame["chunk"], "shard": frame["shard"], "logs": values, "known": known, "kinds": stats[0], "tokens": stats[1]})
