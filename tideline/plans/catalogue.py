@@ -50,7 +50,8 @@ def slid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return indicators.features(bars(spark, sf), bench(spark, sf))
+    """The feature panel; made once for all queries that read it."""
+    return once(spark, ("panel", sf), lambda: indicators.features(bars(spark, sf), bench(spark, sf)))
 
 
 def bench(spark: SparkSession, sf: str) -> DataFrame:

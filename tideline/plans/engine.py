@@ -67,13 +67,13 @@ class Engine:
         return rows.withColumns({"liquid": liquid, "conviction": crosssection.adjusted_conviction(base, plan.setup_allows(), F.col("earnings_flag"), liquid), "why": rules.explained(rows.columns)})
 
     def scan(self, bars: DataFrame, bench: DataFrame | None = None, **side) -> Scan:
-        """Without a benchmark the equal-weight index stands in for the regime."""
-        panel = self.panel(bars, bench)
+        """Without a benchmark the equal-weight index stands in for the regime. Panel, scores and candidates are stored, as each is read several times."""
+        panel = stored(self.panel(bars, bench), "panel")
         regimes = self.regimes(source.equal_weight_index(bars) if bench is None else bench, panel, side.pop("vix", None), side.pop("credit", None))
-        scored = stored(self.scored(panel, regimes), "scored")  # five things read it
+        scored = stored(self.scored(panel, regimes), "scored")
         returns = crosssection.last_returns(bars)
         rows = self.candidates(scored, regimes, **side)
-        return Scan(scored, regimes, plan.select_portfolio(rows, crosssection.correlations(returns), self.cfg), returns)
+        return Scan(scored, regimes, stored(plan.select_portfolio(rows, crosssection.correlations(returns), self.cfg), "candidates"), returns)
 
     def backtest(self, scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         floors = {m: float(s["adv_floor"]) for m, s in self.cfg["markets"].items()}
