@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat_hmm, langid_cnn, packing, pst, secrets_forest, suffix_dedup, vptree, winnow
+from . import bagminhash, bpe, chat_hmm, langid_cnn, merkle, packing, periodic, pst, secrets_forest, suffix_dedup, vptree, winnow
 from .common import materialize, mod_of_id, partitions, table
 
 
@@ -69,6 +69,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), fanout=2, tampered=7).drop("path")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.runs(table(spark, sf_dir, "documents"), loops=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_near_duplicates": op2_near_duplicates,
@@ -80,5 +88,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}) || ':' || {x}, '-')"
+
+
+_LEAF = [_field(f) for f in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "text")]
+_MORE = [*_LEAF[:3], _field("CAST(n_chars + 1 AS VARCHAR)"), _LEAF[4]]
+#: crc32 of decimal ids by its table of 256 steps, made from the polynomial; then levels, siblings and the folding of each row, level by level.
+MERKLE = f"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8),
+ steps AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+ own AS (SELECT doc_id, lang, sha256({' || '.join(_LEAF)}) AS leaf, CASE WHEN n_chars IS NOT NULL AND xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(coalesce(unicode(x), 0) AS BIGINT))), lambda c, b: xor(c >> 8, step[CAST(xor(c, b) % 256 AS INT) + 1])), 4294967295) % 7 = 0
+  THEN sha256({' || '.join(_MORE)}) END AS altered FROM documents, steps),
+ leaves AS (SELECT *, coalesce('=' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM own),
+ nodes AS (SELECT tree, 0 AS level, place, n, leaf AS digest FROM leaves UNION ALL SELECT tree, level + 1, place // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2),
+ upper AS (SELECT tree, level, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+ roots AS (SELECT 0 AS level, place, n, subroot AS digest FROM upper UNION ALL SELECT level + 1, place // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM roots WHERE n > 1 GROUP BY level, place // 2),
+ spot AS (SELECT l.*, row_number() OVER () AS k, u.subroot, u.level AS height, u.place AS upper_place FROM leaves l JOIN upper u USING (tree)),
+ steps_up AS (SELECT k, level, (a.place >> level) % 2 AS behind, s.digest FROM spot a JOIN nodes m ON m.tree = a.tree AND m.n > 1 AND m.place = a.place >> m.level LEFT JOIN (SELECT tree, level AS slevel, place AS splace, digest FROM nodes) s ON s.tree = a.tree AND s.slevel = m.level AND s.splace = xor(a.place >> m.level, 1)
+  UNION ALL SELECT k, height + m.level, (a.upper_place >> m.level) % 2, s.digest FROM spot a JOIN roots m ON m.n > 1 AND m.place = a.upper_place >> m.level LEFT JOIN (SELECT level AS slevel, place AS splace, digest FROM roots) s ON s.slevel = m.level AND s.splace = xor(a.upper_place >> m.level, 1)),
+ proofs AS (SELECT k, sha256(coalesce(string_agg(digest, '' ORDER BY level), '')) AS proof_sha256 FROM steps_up GROUP BY k),
+ fold AS (SELECT k, 0 AS level, coalesce(altered, leaf) AS now FROM spot UNION ALL SELECT f.k, f.level + 1, sha256(CASE WHEN s.behind = 1 THEN coalesce(s.digest, '') || f.now ELSE f.now || coalesce(s.digest, '') END) FROM fold f JOIN steps_up s ON s.k = f.k AND s.level = f.level),
+ ends AS (SELECT k, arg_max(now, level) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM spot LEFT JOIN proofs USING (k) JOIN ends USING (k), (SELECT digest AS root FROM roots WHERE n = 1)"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MERKLE}
