@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat_hmm, langid_cnn, merkle, packing, periodic, pst, secrets_forest, suffix_dedup, vptree, winnow
+from . import bagminhash, bpe, chat_hmm, langid_cnn, merkle, packing, periodic, pst, secrets_forest, set_join, suffix_dedup, vptree, winnow
 from .common import materialize, mod_of_id, partitions, table
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_cnn.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.linked(table(spark, sf_dir, "documents"), percent=80, size=5)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), fanout=2, tampered=7).drop("path")
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_language_id": op10_language_id,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -116,4 +121,13 @@ MERKLE = f"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) t(
  ends AS (SELECT k, arg_max(now, level) AS folded_root FROM fold GROUP BY k)
 SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM spot LEFT JOIN proofs USING (k) JOIN ends USING (k), (SELECT digest AS root FROM roots WHERE n = 1)"""
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MERKLE}
+#: Sets of shingles, all pairs that share one, components as the least id reached.
+JACCARD = r"""WITH RECURSIVE own AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ sets AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [hash(w)] ELSE list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])) END) AS s FROM own),
+ n AS (SELECT k, doc_id, coalesce(size, 0) AS size FROM own LEFT JOIN (SELECT k, count(*) AS size FROM sets GROUP BY 1) USING (k)),
+ pairs AS (SELECT a.k, b.k AS other, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.k <> b.k GROUP BY 1, 2),
+ links AS (SELECT p.k, other FROM pairs p JOIN n a ON a.k = p.k JOIN n b ON b.k = other WHERE 100 * common >= 80 * (a.size + b.size - common)),
+ reach AS (SELECT k, k AS other FROM n UNION SELECT r.k, l.other FROM reach r JOIN links l ON l.k = r.other)
+SELECT n.doc_id, n.size AS n_shingles, least(n.doc_id, min(o.doc_id)) AS component_id FROM n JOIN reach r ON r.k = n.k JOIN n o ON o.k = r.other GROUP BY n.k, n.doc_id, n.size"""
+
+ORACLE_SQL: dict[str, str] = {"op11_ngram_jaccard": JACCARD, "op12_merkle_manifest": MERKLE}
