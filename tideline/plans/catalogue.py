@@ -292,10 +292,10 @@ def lite_scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def both(name: str, sql: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
-    """Registers f over the light factors beside its SQL, and over all 18 factors, without SQL, as name_all_factors."""
+    """Registers f over the light factors and, as name_all_factors, over all 18, each beside its SQL."""
     def put(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         query(name, sql)(lambda s, d: f(lite_scored(s, d)))
-        query(f"{name}_all_factors")(lambda s, d: f(scored(s, d)))
+        query(f"{name}_all_factors", sql.replace(f"WITH {COMP}", f"WITH RECURSIVE {COMP_ALL}"))(lambda s, d: f(scored(s, d)))
         return f
 
     return put
@@ -321,7 +321,30 @@ def _weight(f: str) -> float:
     return next(float(g[f]) for g in config.TECHNICAL.values() if f in g)
 
 
-ZED = f"{_FEATURES}, zed AS (SELECT *, {', '.join(f'{_Z(f)} AS z_{f}' for f in _ALL)} FROM feat WINDOW d AS (PARTITION BY date)), grp AS (SELECT *, {', '.join(_mean_sql([(f'z_{f}', str(_weight(f))) for f in fs]) + f' AS g_{g}' for g, fs in LITE_FACTORS.items())} FROM zed)"
+def _zed_sql(features: str, groups: dict[str, list[str]]) -> str:
+    """z-scores of the factors by date and the group scores, behind the CTEs that end in feat."""
+    zs = ", ".join(f"{_Z(f)} AS z_{f}" for fs in groups.values() for f in fs)
+    gs = ", ".join(_mean_sql([(f"z_{f}", str(_weight(f))) for f in fs]) + f" AS g_{g}" for g, fs in groups.items())
+    return f"{features}, zed AS (SELECT *, {zs} FROM feat WINDOW d AS (PARTITION BY date)), grp AS (SELECT *, {gs} FROM zed)"
+
+
+ZED = _zed_sql(_FEATURES, LITE_FACTORS)
+ALL_FACTORS = {g: list(fs) for g, fs in config.TECHNICAL.items()}
+#: All 18 factors: the recursive means beside the sliding measures.
+_FEATURES_ALL = ADX.removeprefix("WITH RECURSIVE ") + f""", fa AS (SELECT *, coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0) AS mfv, CASE WHEN change > 0 THEN volume ELSE 0 END AS upv, CASE WHEN change < 0 THEN volume ELSE 0 END AS downv,
+ (close - low) / nullif(high - low, 0) AS cr, 4 * ({_sd}) / nullif({_mid}, 0) AS bb_bw, ln(close) AS lc, sum(coalesce(sign(change), 0) * volume) OVER ({O}) AS obv,
+ coalesce(({_mid}) + 2 * ({_sd}) < ema20 + 1.5 * atr20 AND ({_mid}) - 2 * ({_sd}) > ema20 - 1.5 * atr20, false) AS squeezed, coalesce(close > {_prior('max', 'high', 55)}, false) AS broke55 FROM am),
+ fb AS (SELECT o.*, last_value(b.close IGNORE NULLS) OVER (PARTITION BY o.ticker ORDER BY o.date) AS bc FROM fa o LEFT JOIN (SELECT date, close FROM bars WHERE ticker = 'Brand#11') b USING (date)),
+ fr AS (SELECT a.ticker, a.date, CASE WHEN count(b.bb_bw) >= 63 THEN (count(CASE WHEN b.bb_bw < a.bb_bw THEN 1 END) + (count(CASE WHEN b.bb_bw = a.bb_bw THEN 1 END) + 1) / 2.0) / count(b.bb_bw) END AS bb_bw_pct FROM fa a JOIN fa b ON a.ticker = b.ticker AND b.idx BETWEEN a.idx - 251 AND a.idx GROUP BY a.ticker, a.date, a.bb_bw HAVING a.bb_bw IS NOT NULL),
+ feat AS (SELECT ticker, date, idx, close, squeezed, broke55, {roll('avg', 'close', 50)} AS sma50, lead(close, 15) OVER ({O}) / close - 1 AS fwd_ret, {roll('avg', 'close * volume', 20, 10)} AS adv20,
+ CASE WHEN ema200 IS NOT NULL THEN {_f('close > ema21')} + {_f('ema21 > ema50')} + {_f('ema50 > ema200')} END AS ema_align, CASE WHEN adx IS NOT NULL AND pdi IS NOT NULL AND mdi IS NOT NULL THEN greatest(-60, least(60, adx * sign(pdi - mdi))) END AS adx_dir,
+ CASE WHEN count(lc) OVER {_w90} >= 90 THEN (exp(52 * regr_slope(lc, idx) OVER {_w90}) - 1) * CASE WHEN max(lc) OVER {_w90} > min(lc) OVER {_w90} THEN regr_r2(lc, idx) OVER {_w90} END END AS clenow,
+ close / ({roll('avg', 'close', 200)}) - 1 AS dist200, {_lag(21)} / {_lag(252)} - 1 AS mom_12_1, close / {_lag(126)} - 1 AS mom_6m, close / {_lag(63)} - 1 - (bc / lag(bc, 63) OVER ({O}) - 1) AS rs_3m,
+ close / ({roll('max', 'high', 252, 120)}) AS pct_52w_high, -abs(({_RSI14}) - 48) AS rsi_zone, -abs((close - ema21) / nullif(atr14, 0) - 0.3) AS ema21_fit, 100 - ({_RSI2}) AS rsi2_inv, {roll('avg', 'cr', 3, 1)} AS close_range3,
+ -bb_bw_pct AS bw_compression, CASE WHEN atr14 > 0 THEN -abs(ln(100 * atr14 / close / 2.5)) END AS atr_fit, -atr5 / nullif(atr20, 0) AS vol_contraction,
+ (CASE WHEN count(obv) OVER ({O} ROWS 19 PRECEDING) >= 20 THEN regr_slope(obv, idx) OVER ({O} ROWS 19 PRECEDING) END) / nullif({roll('avg', 'volume', 20)}, 0) AS obv_slope,
+ ({roll('sum', 'mfv', 20)}) / nullif({roll('sum', 'volume', 20)}, 0) AS cmf20, ln((({roll('sum', 'upv', 20)}) + 1) / (({roll('sum', 'downv', 20)}) + 1)) AS updown_vol FROM fb LEFT JOIN fr USING (ticker, date))"""
+ZED_ALL = _zed_sql(_FEATURES_ALL, ALL_FACTORS)
 _BN = "PARTITION BY 1 ORDER BY date"
 _rb = lambda agg, x, n, least: f"CASE WHEN count({x}) OVER (ORDER BY date ROWS {n - 1} PRECEDING) >= {least} THEN {agg}({x}) OVER (ORDER BY date ROWS {n - 1} PRECEDING) END"
 REGIME = f"""br AS (SELECT date, avg(CASE WHEN s IS NOT NULL THEN CASE WHEN close > s THEN 1.0 ELSE 0.0 END END) AS breadth FROM (SELECT date, close, {roll('avg', 'close', 50)} AS s FROM bars) GROUP BY 1),
@@ -370,12 +393,12 @@ def _(s, d):
     return rounded(crosssection.group_scores(crosssection.zscores(lite(s, d), _ALL), config.TECHNICAL), ["ticker", "date"], **{f"g_{g}": 5 for g in LITE_FACTORS})
 
 
-@query("zscore_cs_all_factors")
+@query("zscore_cs_all_factors", f"WITH RECURSIVE {ZED_ALL} SELECT ticker, date, {', '.join(f'round(z_{f}, 5) AS z_{f}' for fs in ALL_FACTORS.values() for f in fs)} FROM zed")
 def _(s, d):
     return rounded(scored(s, d), ["ticker", "date"], **{f"z_{f}": 5 for g in config.TECHNICAL.values() for f in g})
 
 
-@query("group_scores_all_factors")
+@query("group_scores_all_factors", f"WITH RECURSIVE {ZED_ALL} SELECT ticker, date, {', '.join(f'round(g_{g}, 5) AS g_{g}' for g in ALL_FACTORS)} FROM grp")
 def _(s, d):
     return rounded(scored(s, d), ["ticker", "date"], **{f"g_{g}": 5 for g in config.TECHNICAL})
 
@@ -385,8 +408,12 @@ def _w(g: str) -> str:
     return "CASE regime " + " ".join(f"WHEN '{r}' THEN {float(w[i])}" for r, w in CFG["weights"].items()) + " END"
 
 
-COMP = f"{ZED}, {REGIME}, rd AS (SELECT date, coalesce(last_value(regime IGNORE NULLS) OVER (ORDER BY date), first_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'NEUTRAL') AS regime FROM (SELECT DISTINCT date FROM bars) LEFT JOIN (SELECT date, regime FROM reg) USING (date)), cmp AS (SELECT grp.*, coalesce(regime, 'NEUTRAL') AS regime, {_mean_sql([(f'g_{g}', '(' + _w(g) + ')') for g in LITE_FACTORS])} AS composite FROM grp LEFT JOIN rd USING (date))"
-COMP += ", crk AS (SELECT *, CASE WHEN composite IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY composite NULLS LAST) + (count(*) OVER (PARTITION BY date, composite) - 1) / 2.0) / count(composite) OVER (PARTITION BY date) END AS comp_rank FROM cmp)"
+def _comp_sql(zed: str, groups: dict[str, list[str]]) -> str:
+    comp = f"{zed}, {REGIME}, rd AS (SELECT date, coalesce(last_value(regime IGNORE NULLS) OVER (ORDER BY date), first_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'NEUTRAL') AS regime FROM (SELECT DISTINCT date FROM bars) LEFT JOIN (SELECT date, regime FROM reg) USING (date)), cmp AS (SELECT grp.*, coalesce(regime, 'NEUTRAL') AS regime, {_mean_sql([(f'g_{g}', '(' + _w(g) + ')') for g in groups])} AS composite FROM grp LEFT JOIN rd USING (date))"
+    return comp + ", crk AS (SELECT *, CASE WHEN composite IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY composite NULLS LAST) + (count(*) OVER (PARTITION BY date, composite) - 1) / 2.0) / count(composite) OVER (PARTITION BY date) END AS comp_rank FROM cmp)"
+
+
+COMP, COMP_ALL = _comp_sql(ZED, LITE_FACTORS), _comp_sql(ZED_ALL, ALL_FACTORS)
 
 
 @both("composite", f"WITH {COMP} SELECT ticker, date, regime, round(composite, 5) AS composite FROM crk")
@@ -466,7 +493,9 @@ def _(s, d):
     return rows.select("ticker", "date", rules.explained(rows.columns).alias("why"))
 
 
-@query("explain_bits_all_factors")
+@query("explain_bits_all_factors", f"""WITH RECURSIVE {ZED_ALL}, bits AS (SELECT ticker, date, concat_ws('; ', CASE WHEN g_momentum > 0.8 THEN 'momentum leader' WHEN g_momentum < -0.8 THEN 'weak momentum' END, CASE WHEN g_trend > 0.8 THEN 'strong trend structure' END,
+ CASE WHEN g_timing > 0.5 THEN 'favourable entry timing' END, CASE WHEN g_volatility > 0.5 THEN 'volatility compression' END, CASE WHEN g_volume > 0.5 THEN 'volume accumulation' WHEN g_volume < -0.8 THEN 'distribution in volume' END,
+ CASE WHEN squeezed THEN 'Bollinger/Keltner squeeze on' END, CASE WHEN broke55 THEN 'new 55-day high' END) AS why FROM grp) SELECT ticker, date, CASE WHEN why = '' THEN 'no dominant factor' ELSE why END AS why FROM bits""")
 def _(s, d):
     rows = scored(s, d)
     return rows.select("ticker", "date", rules.explained(rows.columns).alias("why"))
@@ -715,10 +744,30 @@ def _(s, d):
     return ml.splits(source.brand_bars(s, d)).select(F.col("test_day").cast("int").alias("test_day"), F.col("test_end").cast("int").alias("test_end"), F.col("train_end").cast("int").alias("train_end"))
 
 
+LEARNING = config.load({"ml": {"max_iter": 150}})
+
+
 @query("ml_walk_forward")
 def _(s, d):
-    """All features, the computed regime, a refit each 20 dates and the reference's 150 rounds."""
-    return ml.metrics(ml.walk_forward(scored(s, d), config.load({"ml": {"max_iter": 150}})))
+    """All features, the computed regime, a refit each 20 dates, 150 rounds."""
+    return ml.metrics(ml.walk_forward(scored(s, d), LEARNING))
+
+
+@query("ml_latest_probability")
+def _(s, d):
+    return ml.latest_probability(scored(s, d), LEARNING)
+
+
+_PRED = "SELECT l_returnflag AS market, CAST(l_linenumber AS BIGINT) AS test_day, CASE WHEN l_discount > 0.07 THEN 1.0 ELSE 0.0 END AS label, l_tax AS fwd_ret, floor(l_extendedprice / 100) / 1000 AS prob FROM lineitem"
+
+
+@query("ml_metrics", f"""WITH p AS ({_PRED}), r AS (SELECT *, rank() OVER (PARTITION BY market ORDER BY prob) + (count(*) OVER (PARTITION BY market, prob) - 1) / 2.0 AS r FROM p), q AS (SELECT market, quantile_cont(prob, 0.9) AS q90 FROM p GROUP BY 1)
+ SELECT market, count(DISTINCT test_day) AS n_refits, round((sum(label * r) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auc, round(avg(label), 6) AS base_rate, round(avg(CASE WHEN prob >= q90 - 1e-9 THEN label END), 6) AS top_precision,
+ round(100 * avg(CASE WHEN prob >= q90 - 1e-9 THEN fwd_ret END), 6) AS top_fwd_pct, round(100 * avg(fwd_ret), 6) AS all_fwd_pct, count(*) AS n FROM r JOIN q USING (market) GROUP BY 1""")
+def _(s, d):
+    """The metrics over line items as predictions: a rounded price is the probability, so there are many ties."""
+    rows = source.table(s, d, "lineitem").select(F.col("l_returnflag").alias("market"), F.col("l_linenumber").cast("long").alias("test_day"), (F.col("l_discount") > 0.07).cast("double").alias("label"), F.col("l_tax").alias("fwd_ret"), (F.floor(F.col("l_extendedprice") / 100) / 1000).alias("prob"))
+    return rounded(ml.metrics(rows), ["market", "n_refits", "n"], auc=6, base_rate=6, top_precision=6, top_fwd_pct=6, all_fwd_pct=6)
 
 
 # -- reports
