@@ -103,16 +103,15 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> Da
 
 
 def contents(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of each row, packed in order."""
+    """(node, text) of each row: a text compresses, the numbers of its shingles don't, so texts travel and are cut up again where they are compared."""
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, _, value, nodes, n in _sets(frame["text"].tolist(), size):
-                at = np.concatenate([[0], np.cumsum(n)])
-                yield pd.DataFrame({"node": nodes, "shingles": [value[i:j].tobytes() for i, j in zip(at, at[1:])]})
+            for part, _, _, nodes, n in _sets(frame["text"].tolist(), size):
+                yield pd.DataFrame({"node": nodes, "text": frame["text"].iloc[part].array})[n > 0]
 
-    return docs.select("text").mapInPandas(run, "node binary, shingles binary")
+    return docs.select("text").mapInPandas(run, "node binary, text string")
 
 
 def _enough(both: Column, n: Column, m: Column, percent: int) -> Column:
@@ -121,36 +120,64 @@ def _enough(both: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def blocks(postings: DataFrame, percent: int) -> DataFrame:
-    """(block, node, n, pos): each list cut by sizes, without what cannot have a partner in its block."""
+    """(block, node, n, pos, node_a, n_a, pos_a): each list cut by sizes, beside the block's first leader, without what cannot have a partner in its block."""
     band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))) if percent < 100 else F.col("n")
     near = F.explode(F.array(band - 1, band) if percent < 100 else F.array(band))
     spread = postings.withColumn("band", near).select(F.xxhash64("token", "band").alias("block"), "node", "n", "pos")
-    heads = spread.groupBy("block").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1")
+    first = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos"))
+    heads = spread.groupBy("block").agg(F.count("*").alias("members"), F.min("n").alias("least"), first.alias("a")).where("members > 1")
     smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-    return spread.join(heads, "block").where(_enough(F.col("n") - F.col("pos"), F.col("n"), smallest, percent)).select("block", "node", "n", "pos")
+    both = spread.join(heads, "block").where(_enough(F.col("n") - F.col("pos"), F.col("n"), smallest, percent))
+    return both.select("block", "node", "n", "pos", F.col("a.node").alias("node_a"), F.col("a.n").alias("n_a"), F.col("a.pos").alias("pos_a"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the number of shingles that both have, and both sizes; of the sets only what pairs name is shuffled."""
+def _near(percent: int) -> Column:
+    """Do sizes and places leave a leader (n_a, pos_a) and a member (n, pos) so many shingles to share?"""
+    n, m = F.col("n"), F.col("n_a")
+    rest = F.least(n - F.col("pos"), m - F.col("pos_a"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(rest, n, m, percent)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with the number of shingles that both have, and both sizes; of the texts only what pairs name is shuffled."""
     count = pairs.count()
 
     def side(name: str) -> DataFrame:
-        return prefiltered(sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}")), name, pairs.select(name), count)
+        return prefiltered(texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}")), name, pairs.select(name), count)
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for a, b in zip(frame["set_a"], frame["set_b"]):
-                u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.searchsorted(v, u)
-                rows.append((int((v[np.minimum(at, len(v) - 1)] == u).sum()), len(u), len(v)))
-            yield frame[["a", "b"]].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("both", "n_a", "n_b"))})
-
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
+            sides = [len(x) + len(y) for x, y in zip(frame["text_a"], frame["text_b"])]
+            for part in batches_by_bytes([range(n) for n in sides], 4_000_000):
+                rows, sets, out = frame.iloc[part], {}, []
+                own = dict(zip(rows["a"], rows["text_a"])) | dict(zip(rows["b"], rows["text_b"]))
+                names = list(own)
+                for which, text, value, _, n in _sets(list(own.values()), size):
+                    at = np.concatenate([[0], np.cumsum(n)])
+                    sets.update(zip(names[which], (value[i:j] for i, j in zip(at, at[1:]))))
+                for a, b in zip(rows["a"], rows["b"]):
+                    u, v = sets[a], sets[b]
+                    at = np.searchsorted(v, u)
+                    out.append((int((v[np.minimum(at, len(v) - 1)] == u).sum()), len(u), len(v)))
+                yield rows[["a", "b"]].assign(**{c: [r[i] for r in out] for i, c in enumerate(("both", "n_a", "n_b"))})
+
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInPandas(run, "a binary, b binary, both long, n_a long, n_b long")
 
 
+def texts_of(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(node, text) of each member, once, found by the id that stands for it."""
+    ids = members.select("doc_id").where("doc_id is not null")
+    wanted = prefiltered(rows, "doc_id", ids, members.count()).join(ids, "doc_id", "left_semi")
+    out = contents(wanted, size).join(members.select("node"), "node", "left_semi")
+    # a text is shuffled to find its copies only where an id does come with the same set twice
+    if nodes.join(members, ["doc_id", "node"], "left_semi").count() > ids.count():
+        out = out.dropDuplicates(["node"])
+    lone = contents(rows.where("doc_id is null"), size).join(members.where("doc_id is null").select("node"), "node", "left_semi")
+    return out.unionByName(lone.dropDuplicates(["node"]))
+
+
 def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     rows = docs.select("doc_id", "text")
@@ -164,48 +191,40 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     entries = materialize(blocks(postings, percent), "blocks")
     forget(postings)
     members = materialize(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(entries.select("node").distinct(), "node", "left_semi"), "members")
-    ids = members.select("doc_id").where("doc_id is not null")
-    wanted = prefiltered(rows, "doc_id", ids, members.count()).join(ids, "doc_id", "left_semi").select("doc_id", "text").unionByName(rows.where("doc_id is null"))
-    sets = materialize(contents(wanted, size).dropDuplicates(["node"]).join(members.select("node"), "node", "left_semi"), "sets")
+    texts = materialize(texts_of(rows, nodes, members, size), "texts")
     labels = materialize(members.select("node", F.col("node").alias("comp")), "labels")
     forget(members)
-    led = answers = None
-    for leaders in itertools.chain([1], (32**i for i in itertools.count(1))):
-        open_ = entries.join(labels, "node")
-        if led is not None:
-            open_ = open_.join(led, ["block", "node"], "left_anti").join(answers, "node", "left")
-        else:
-            open_ = open_.withColumn("answer", F.lit(None).cast("struct<share:double,base:binary,both:long,size:long>"))
-        mixed = materialize(open_.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("block"), "mixed")
-        open_ = materialize(open_.join(mixed, "block"), "open")
-        forget(mixed)
+    found = entries.where((F.col("node") != F.col("node_a")) & _near(percent)).select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.lit(False).alias("sure"))
+    open_, held, answers = entries.where("node <> node_a").select("block", "node", "n", "pos"), [entries], None
+    for leaders in (32**i for i in itertools.count(1)):
+        pairs = materialize(found.distinct(), "pairs")
+        checked = materialize(compared(pairs.where("not sure").select("a", "b"), texts, size), "checked")
+        links = checked.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").unionByName(pairs.where("sure").select("a", "b"))
+        labels = components(labels, links)
+        best = checked.select(F.col("b").alias("node"), F.struct((F.col("both") / F.col("n_b")).alias("share"), F.col("a").alias("base"), "both", F.col("n_a").alias("size")).alias("answer"))
+        old = answers
+        answers = materialize((best if old is None else best.unionByName(old)).groupBy("node").agg(F.max("answer").alias("answer")), "answers")
+        forget(pairs, checked, old)
+        # blocks whose members are of one component stay so; only the others go on
+        named = open_.join(labels, "node")
+        mixed = materialize(named.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("block"), "mixed")
+        open_ = materialize(named.join(mixed, "block").join(answers, "node", "left"), "open")
+        forget(mixed, *held)
         if open_.isEmpty():
-            forget(open_)
             break
         order = W.partitionBy("block").orderBy(F.col("pos") / F.col("n"), "node")
         first = open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
         first = materialize(first.select("block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "comp", "answer"))), "leaders")
         n, m, x, y = F.col("n"), F.col("n_a"), F.col("answer"), F.col("answer_a")
-        rest = F.least(n - F.col("pos"), m - F.col("pos_a"))
         same = F.coalesce(x["base"] == y["base"], F.lit(False))
         most = F.least(x["both"], y["both"]) + F.least(n - x["both"], m - y["both"])
-        may = (F.col("comp") != F.col("comp_a")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(rest, n, m, percent)
         known = F.coalesce(x["base"] == F.col("node_a"), F.lit(False)) | F.coalesce(y["base"] == F.col("node"), F.lit(False))
-        may &= ~known & (~same | _enough(most, n, m, percent))
+        may = (F.col("comp") != F.col("comp_a")) & _near(percent) & ~known & (~same | _enough(most, n, m, percent))
         sure = same & _enough(x["both"] + y["both"] - x["size"], n, m, percent)
         found = open_.withColumnRenamed("block", "k").join(first, (F.col("k") == F.col("block")) & may).select(F.col("node_a").alias("a"), F.col("node").alias("b"), sure.alias("sure"))
-        pairs = materialize(found.distinct(), "pairs")
-        checked = materialize(compared(pairs.where("not sure").select("a", "b"), sets), "checked")
-        links = checked.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").unionByName(pairs.where("sure").select("a", "b"))
-        forget(open_)
-        labels = components(labels, links)
-        best = checked.select(F.col("b").alias("node"), F.struct((F.col("both") / F.col("n_b")).alias("share"), F.col("a").alias("base"), "both", F.col("n_a").alias("size")).alias("answer"))
-        old = answers
-        answers = materialize((best if old is None else best.unionByName(old)).groupBy("node").agg(F.max("answer").alias("answer")), "answers")
-        forget(pairs, checked, old)
-        now = first.select("block", F.col("node_a").alias("node"))
-        led = now if led is None else led.unionByName(now)
-    forget(sets, entries)
+        held, led = [open_, first], first.select("block", F.col("node_a").alias("node"))
+        open_ = open_.select("block", "node", "n", "pos").join(led, ["block", "node"], "left_anti")
+    forget(texts, open_, answers)
     named = nodes.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     least = materialize(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "comp", "left")
