@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def window_rank_pct(value: Column, w: WindowSpec, n: int, least: int) -> Column:
     return F.when(value.isNotNull() & (F.count(value).over(frame) >= least), (below + (same + 1) / 2) / F.size(seen))
 
 
+def rolling_rank(values: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Mean-tie rank of each value among the last n, over their count, NaN being undefined: one pass over an ordered window."""
+    out, window = np.full(len(values), np.nan), []
+    for i, x in enumerate(values):
+        if i >= n and (old := values[i - n]) == old:
+            del window[bisect_left(window, old)]
+        if x == x:
+            insort(window, x)
+            if len(window) >= least:
+                out[i] = (bisect_left(window, x) + bisect_right(window, x) + 1) / 2 / len(window)
+    return out
+
+
 def weighted_mean(columns: Iterable[tuple[str, Column | float]]) -> Column:
     """Mean of the columns that are not null, by weight; null if the weights left sum to 0."""
     top = bottom = F.lit(0.0)

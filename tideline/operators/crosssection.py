@@ -143,3 +143,10 @@ def correlations(returns: DataFrame) -> DataFrame:
     a = returns.select("market", "date", F.col("ticker").alias("a"), F.col("ret").alias("ra"))
     b = returns.select("market", "date", F.col("ticker").alias("b"), F.col("ret").alias("rb"))
     return a.join(b, ["market", "date"]).where("a < b").groupBy("market", "a", "b").agg(guarded_corr("ra", "rb").alias("corr"), F.count(F.col("ra") + F.col("rb")).alias("n"))
+
+
+def correlations_with(returns: DataFrame, names: DataFrame) -> DataFrame:
+    """(market, ticker, other, corr) of every instrument with each of the few names (market, other): linear in instruments."""
+    theirs = returns.join(names.withColumnRenamed("other", "ticker"), ["market", "ticker"]).select("market", "date", F.col("ticker").alias("other"), F.col("ret").alias("rb"))
+    both = returns.withColumnRenamed("ret", "ra").join(theirs, ["market", "date"]).where("ticker <> other")
+    return both.groupBy("market", "ticker", "other").agg(guarded_corr("ra", "rb").alias("corr"))

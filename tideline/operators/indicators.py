@@ -1,8 +1,8 @@
 """Per-instrument indicators: frames over (market, ticker) by date, and recursive means.
 
 All sliding measures are Spark windows over one partitioning. The recursive
-means (exponential, Wilder's) run in one grouped pass over the same
-partitioning, after which everything is plain expressions: one exchange in all.
+means (exponential, Wilder's) and the rolling rank run in one grouped pass over
+the few columns that they read; windows and plain expressions follow.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import flag, ratio, rolling, window_rank_pct
+from ..functions.kernels import flag, ratio, rolling, rolling_rank
 
 
 
@@ -36,7 +36,8 @@ def sma(x: Column, n: int) -> Column:
 
 
 def inputs(bars: DataFrame) -> DataFrame:
-    """True range, gains and losses, directional movement, bar number."""
+    """True range, gains and losses, directional movement, width of the bands, bar number: all that the grouped pass reads."""
+    mid, sd = sma(F.col("close"), 20), rolling(F.stddev_pop, F.col("close"), by_date(), 20)
     before = F.lag("close").over(by_date())
     up, down = F.col("high") - F.lag("high").over(by_date()), F.lag("low").over(by_date()) - F.col("low")
     change = F.col("close") - before
@@ -48,13 +49,17 @@ def inputs(bars: DataFrame) -> DataFrame:
         "loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
         "plus_dm": F.when((up > down) & (up > 0), up).otherwise(0.0),
         "minus_dm": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "bb_mid": mid, "bb_sd": sd, "bb_bw": ratio((mid + 2 * sd) - (mid - 2 * sd), mid),
     })
 
 
-def recursive_means(rows: DataFrame, wanted: dict | None = None, adx: bool = True, macd: bool = True) -> DataFrame:
-    """rows with the recursive means of each instrument, and ADX and MACD made of them."""
+def recursive_means(rows: DataFrame, wanted: dict | None = None, adx: bool = True, macd: bool = True, rank: bool = True) -> DataFrame:
+    """rows with the recursive means of each instrument, ADX and MACD made of them, and the rolling rank of the bands' width.
+
+    It reads inputs() and nothing that sliding() adds, so that few columns pass through Python.
+    """
     wanted = MEANS if wanted is None else wanted
-    more = [*wanted, *(["pdi", "mdi", "adx"] if adx else []), *(["macd", "macd_signal", "macd_hist"] if macd else [])]
+    more = [*wanted, *(["pdi", "mdi", "adx"] if adx else []), *(["macd", "macd_signal", "macd_hist"] if macd else []), *(["bb_bw_pct"] if rank else [])]
 
     def mean(x: pd.Series, alpha: float, least: int) -> pd.Series:
         return x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
@@ -72,6 +77,8 @@ def recursive_means(rows: DataFrame, wanted: dict | None = None, adx: bool = Tru
             frame["macd"] = frame["ema12"] - frame["ema26"]
             frame["macd_signal"] = mean(frame["macd"], 0.2, 9)
             frame["macd_hist"] = frame["macd"] - frame["macd_signal"]
+        if rank:
+            frame["bb_bw_pct"] = rolling_rank(frame["bb_bw"].to_numpy(float), 252, 63)
         return frame
 
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in more)])
@@ -108,9 +115,8 @@ def sliding(rows: DataFrame, horizon: int = 15) -> DataFrame:
     """Every measure that a frame gives; needs inputs(). ppy (periods a year) is a column."""
     c, v = F.col("close"), F.coalesce("volume", F.lit(0.0))  # a missing volume counts as none
     change = c - F.lag("close").over(by_date())
-    mid, sd = sma(c, 20), rolling(F.stddev_pop, c, by_date(), 20)
     rows = rows.withColumns({
-        "sma50": sma(c, 50), "sma200": sma(c, 200), "bb_mid": mid, "bb_sd": sd,
+        "sma50": sma(c, 50), "sma200": sma(c, 200),
         "obv": F.sum(F.coalesce(F.signum(change), F.lit(0.0)) * v).over(by_date().rowsBetween(W.unboundedPreceding, 0)),
         "donch20_hi": donchian(20)[0], "donch20_lo": donchian(20)[1], "donch55_hi": donchian(55)[0],
         "swing_low10": rolling(F.min, F.col("low"), by_date(), 10, 5),
@@ -137,11 +143,10 @@ def sliding(rows: DataFrame, horizon: int = 15) -> DataFrame:
         "breakout20": flag(c > F.col("donch20_hi")), "breakout55": flag(c > F.col("donch55_hi")),
         "fwd_ret": ratio(F.lead("close", horizon).over(by_date()), c) - 1,
     })
-    rows = rows.withColumns({
-        "bb_bw": ratio(F.col("bb_up") - F.col("bb_lo"), F.col("bb_mid")), "bb_pctb": ratio(c - F.col("bb_lo"), F.col("bb_up") - F.col("bb_lo")),
+    return rows.withColumns({
+        "bb_pctb": ratio(c - F.col("bb_lo"), F.col("bb_up") - F.col("bb_lo")),
         "clenow": (F.exp(F.col("clenow_slope") * F.col("ppy")) - 1) * F.col("clenow_r2"),
     })
-    return rows.withColumn("bb_bw_pct", window_rank_pct(F.col("bb_bw"), by_date(), 252, 63))
 
 
 def relative_strength(rows: DataFrame, bench: DataFrame | None) -> DataFrame:
@@ -177,7 +182,7 @@ def derived(rows: DataFrame) -> DataFrame:
 
 def features(bars: DataFrame, bench: DataFrame | None = None, horizon: int = 15) -> DataFrame:
     """The whole feature frame; bars carry ppy and atr_ideal (see with_market)."""
-    return derived(recursive_means(relative_strength(sliding(inputs(bars), horizon), bench)))
+    return derived(relative_strength(sliding(recursive_means(inputs(bars)), horizon), bench))
 
 
 def with_market(bars: DataFrame, settings: dict[str, dict]) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import unit_aed
 from ..functions.kernels import ratio
+from ..storage import stored
+from .crosssection import correlations_with
 from .rules import SETUPS
 
 # How a setup is bought.
@@ -90,50 +95,98 @@ def sized(rows: DataFrame, cfg: dict) -> DataFrame:
     return rows.withColumn("units", F.when(F.col("market") == "uae", F.floor(raw).cast("double")).otherwise(raw))
 
 
-def select_portfolio(candidates: DataFrame, correlations: DataFrame, cfg: dict) -> DataFrame:
+# Why a candidate is not taken.
+SKIPS = {
+    "count": "max {n} positions in {regime}", "setup": "not actionable today", "veto": "vetoed", "lot": "position too small for minimum lot",
+    "corr": "correlated with {other} (%.2f)", "sector": "sector cap ({sector})", "heat": "portfolio heat cap", "exposure": "capital fully deployed",
+}
+TAKEN = "array<struct<key:double,ticker:string,sector:string,risk_aed:double,pos_aed:double>>"
+
+
+def _before(x: Column, r: Column) -> Column:
+    """Does a stand before b in the order of choice: higher conviction, then ticker?"""
+    return (x["key"] < r["key"]) | ((x["key"] == r["key"]) & (x["ticker"] < r["ticker"]))
+
+
+def _room(taken: Column, sector: Column, risk: Column, pos: Column, cfg: dict) -> dict[str, Column]:
+    """Whether sector, heat and exposure still allow a name beside those taken."""
+    rk, capital = cfg["risk"], float(cfg["capital_aed"])
+    total = lambda name: F.aggregate(taken, F.lit(0.0), lambda a, t: a + t[name])
+    same = F.size(F.filter(taken, lambda t: F.coalesce(t["sector"] == sector, F.lit(False))))
+    return {
+        "sector": sector.isNull() | (same < rk["sector_cap"]), "heat": total("risk_aed") + risk <= capital * rk["heat_pct"] / 100 + 1e-9,
+        "exposure": total("pos_aed") + pos <= capital * rk["exposure_pct"] / 100 + 1e-9,
+    }
+
+
+Near = Callable[[DataFrame], DataFrame]
+
+
+def near_by(correlations: DataFrame | None, returns: DataFrame | None, most: float) -> Near:
+    """Of names (market, other), the pairs (market, ticker, other, corr) above a correlation: looked up in a table of pairs, or worked out for these names alone from returns."""
+    if correlations is None:
+        return lambda names: correlations_with(returns, names).where(F.col("corr") > most)
+    pairs = correlations.where(F.col("corr") > most)
+    both = stored(pairs.select("market", F.col("a").alias("ticker"), F.col("b").alias("other"), "corr").unionByName(pairs.select("market", F.col("b").alias("ticker"), F.col("a").alias("other"), "corr")), "conflicts")
+    return lambda names: both.join(names, ["market", "other"])
+
+
+def chosen_names(candidates: DataFrame, near: Near, cfg: dict, places: Column, most: int) -> DataFrame:
+    """(market, taken, places): the names that a greedy pass by conviction takes, in order, at most `places` (never beyond `most`).
+
+    What a pass does between two choices changes nothing, so a round finds each
+    market's next choice at once: of all candidates behind the last one, the first
+    that every limit allows, a minimum over partial aggregates. There are as many
+    rounds as places; a market's names never meet in one task, but for those taken.
+    """
+    usable = candidates.where("coalesce(eligible, false) and not coalesce(veto, false) and coalesce(units, 0D) > 0")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    item = F.struct("key", "ticker", F.when(F.col("sector") != "", F.col("sector")).alias("sector"), zero("risk_aed"), zero("pos_aed"))
+    rows = stored(usable.withColumn("key", -F.coalesce("conviction", F.lit(-1e9))).select("market", "ticker", item.alias("r")), "usable")
+    state = stored(candidates.groupBy("market").agg(F.first("regime", ignorenulls=True).alias("regime")).select("market", "regime", places.alias("places"), F.expr(f"cast(array() as {TAKEN})").alias("taken")), "taken")
+    for _ in range(most):
+        last = F.get("taken", F.size("taken") - 1)
+        open_ = rows.join(state.where(F.size("taken") < F.col("places")), "market")
+        open_ = open_.where(last.isNull() | _before(last, F.col("r")))
+        names = state.select("market", F.explode("taken").alias("t")).select("market", F.col("t.ticker").alias("other"))
+        allowed = _room(F.col("taken"), F.col("r.sector"), F.col("r.risk_aed"), F.col("r.pos_aed"), cfg)
+        open_ = open_.join(near(names).select("market", "ticker"), ["market", "ticker"], "left_anti").where(allowed["sector"] & allowed["heat"] & allowed["exposure"])
+        found = open_.groupBy("market").agg(F.min_by("r", F.struct("r.key", "r.ticker")).alias("next"))
+        state = stored(state.join(found, "market", "left").select("market", "regime", "places", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("next"))).alias("taken")), "taken")
+    return state
+
+
+def select_portfolio(candidates: DataFrame, correlations: DataFrame | None, cfg: dict, returns: DataFrame | None = None) -> DataFrame:
     """Greedy choice by conviction within each market: selected and skip_reason.
 
-    Order matters, so a market's candidates fold one after the other inside one
-    row: an aggregate() over the sorted array, its state being the names taken,
-    the heat, the exposure, the sectors and the reasons. A market has at most a
-    few hundred candidates (its universe), which bounds the array.
+    The names taken are found first (see chosen_names; as many rounds as the largest
+    number of positions); every other candidate's reason follows from those before it.
+    Without a table of correlations, those with the names taken come from returns.
     """
-    rk, capital = cfg["risk"], float(cfg["capital_aed"])
-    pairs = correlations.where(F.col("corr") > rk["corr"])
-    near = pairs.select("market", F.col("a").alias("ticker"), F.col("b").alias("other"), "corr").unionByName(pairs.select("market", F.col("b").alias("ticker"), F.col("a").alias("other"), "corr"))
-    near = near.groupBy("market", "ticker").agg(F.collect_list(F.struct("other", "corr")).alias("near"))
-    fields = ["ticker", "conviction", "eligible", "veto", "earnings_flag", "units", "risk_aed", "pos_aed", "sector", "near"]
-    rows = candidates.join(near, ["market", "ticker"], "left")
-    item = F.struct((-F.coalesce("conviction", F.lit(-1e9))).alias("key"), *fields)
-    lists = rows.groupBy("market").agg(F.first("regime").alias("regime"), F.array_sort(F.collect_list(item)).alias("items"))
-    maxp = by_key(F.col("regime"), rk["max_positions"], 0)
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("taken"), F.lit(0.0).alias("heat"), F.lit(0.0).alias("expo"), F.expr("cast(array() as array<string>)").alias("sectors"), F.expr("cast(array() as array<struct<ticker:string,reason:string>>)").alias("reasons"))
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-
-    def step(s: Column, r: Column) -> Column:
-        none = F.expr("cast(array() as array<struct<other:string,corr:double>>)")
-        close = F.filter(F.coalesce(r["near"], none), lambda n: F.array_contains(s["taken"], n["other"]))
-        hit = F.get(F.array_sort(F.transform(close, lambda n: F.struct(F.array_position(s["taken"], n["other"]).alias("at"), n["other"].alias("other"), n["corr"].alias("corr")))), 0)
-        same = F.size(F.filter(s["sectors"], lambda x: x == r["sector"]))
-        reason = (
-            F.when(F.size(s["taken"]) >= maxp, F.concat(F.lit("max "), maxp.cast("string"), F.lit(" positions in "), F.col("regime")))
-            .when(~F.coalesce(r["eligible"], F.lit(False)), "not actionable today")
-            .when(F.coalesce(r["veto"], F.lit(False)), F.when(F.coalesce(r["earnings_flag"], F.lit("")) == "", "vetoed").otherwise(r["earnings_flag"]))
-            .when(~(zero(r["units"]) > 0), "position too small for minimum lot")
-            .when(hit.isNotNull(), F.concat(F.lit("correlated with "), hit["other"], F.format_string(" (%.2f)", hit["corr"])))
-            .when(r["sector"].isNotNull() & (same >= rk["sector_cap"]), F.concat(F.lit("sector cap ("), r["sector"], F.lit(")")))
-            .when(s["heat"] + zero(r["risk_aed"]) > capital * rk["heat_pct"] / 100 + 1e-9, "portfolio heat cap")
-            .when(s["expo"] + zero(r["pos_aed"]) > capital * rk["exposure_pct"] / 100 + 1e-9, "capital fully deployed")
-        )
-        yes = reason.isNull()
-        return F.struct(
-            F.when(yes, F.array_append(s["taken"], r["ticker"])).otherwise(s["taken"]).alias("taken"), (s["heat"] + F.when(yes, zero(r["risk_aed"])).otherwise(0.0)).alias("heat"),
-            (s["expo"] + F.when(yes, zero(r["pos_aed"])).otherwise(0.0)).alias("expo"), F.when(yes & r["sector"].isNotNull(), F.array_append(s["sectors"], r["sector"])).otherwise(s["sectors"]).alias("sectors"),
-            F.array_append(s["reasons"], F.struct(r["ticker"].alias("ticker"), F.coalesce(reason, F.lit("")).alias("reason"))).alias("reasons"),
-        )
-
-    done = lists.select("market", F.inline(F.aggregate("items", start, step, lambda s: s["reasons"])))
-    return candidates.join(done.withColumnRenamed("reason", "skip_reason"), ["market", "ticker"]).withColumn("selected", F.col("skip_reason") == "")
+    candidates = stored(candidates, "candidates")  # read by each step below
+    limits = cfg["risk"]["max_positions"]
+    near = near_by(correlations, returns, cfg["risk"]["corr"])
+    state = chosen_names(candidates, near, cfg, by_key(F.col("regime"), limits, 0), max(limits.values(), default=0))
+    key = -F.coalesce("conviction", F.lit(-1e9))
+    order = state.select("market", F.posexplode("taken").alias("nth", "t")).select("market", "nth", F.col("t.key").alias("key_other"), F.col("t.ticker").alias("other"))
+    first = near(order.select("market", "other")).join(order, ["market", "other"]).join(candidates.select("market", "ticker", key.alias("key")), ["market", "ticker"])
+    first = first.where((F.col("key_other") < F.col("key")) | ((F.col("key_other") == F.col("key")) & (F.col("other") < F.col("ticker"))))
+    hit = first.groupBy("market", "ticker").agg(F.min(F.struct("nth", "other", "corr")).alias("hit"))
+    own = F.struct(key.alias("key"), F.col("ticker").alias("ticker"))
+    rows = candidates.join(hit, ["market", "ticker"], "left").join(state.select("market", F.col("regime").alias("regime_now"), "places", "taken"), "market")
+    rows = rows.withColumn("ahead", F.filter("taken", lambda t: _before(t, own)))
+    sector, zero = F.when(F.col("sector") != "", F.col("sector")), lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    allowed = _room(F.col("ahead"), sector, zero("risk_aed"), zero("pos_aed"), cfg)
+    text = lambda kind, **put: F.concat(*(put.get(x, F.lit(x)) for x in re.split("[{}]", SKIPS[kind])))
+    reason = (
+        F.when(F.size("ahead") >= F.col("places"), text("count", n=F.col("places").cast("string"), regime=F.coalesce("regime_now", F.lit(""))))
+        .when(~F.coalesce("eligible", F.lit(False)), SKIPS["setup"])
+        .when(F.coalesce("veto", F.lit(False)), F.when(F.coalesce("earnings_flag", F.lit("")) == "", SKIPS["veto"]).otherwise(F.col("earnings_flag")))
+        .when(~(zero("units") > 0), SKIPS["lot"])
+        .when(F.col("hit").isNotNull(), F.format_string(SKIPS["corr"].replace("{other}", "%s"), F.col("hit.other"), F.col("hit.corr")))
+        .when(~allowed["sector"], text("sector", sector=sector)).when(~allowed["heat"], SKIPS["heat"]).when(~allowed["exposure"], SKIPS["exposure"])
+    )
+    return rows.select(*candidates.columns, F.coalesce(reason, F.lit("")).alias("skip_reason")).withColumn("selected", F.col("skip_reason") == "")
 
 
 def market_sleeves(states: DataFrame, cfg: dict, oil_bull: bool | None = None, dollar_strong: bool | None = None, yields_spiking: bool | None = None, risk_appetite: bool | None = None) -> DataFrame:
@@ -180,20 +233,24 @@ def free_budget(sleeves: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def with_live(rows: DataFrame) -> DataFrame:
-    """Levels moved to the live price, for setups that are bought at market."""
-    shift = F.when(F.col("kind").isin("breakout", "momentum", "bounce") & F.col("live").isNotNull(), F.col("live") - F.col("entry")).otherwise(0.0)
+    """Levels moved to a finite live price above 0, for setups that are bought at market."""
+    good = (F.col("live") > 0) & (F.col("live") < float("inf"))
+    shift = F.when(F.col("kind").isin("breakout", "momentum", "bounce") & good & F.col("entry").isNotNull(), F.col("live") - F.col("entry")).otherwise(0.0)
     return rows.withColumns({c: F.col(c) + shift for c in ("entry", "stop", "t1", "t2")})
 
 
-def sleeve_picks(candidates: DataFrame, budgets: DataFrame, correlations: DataFrame, cfg: dict) -> DataFrame:
+def sleeve_picks(candidates: DataFrame, budgets: DataFrame, correlations: DataFrame | None, cfg: dict, returns: DataFrame | None = None) -> DataFrame:
     """Each market's names for its budget, by conviction, at most so many, within correlation and sector limits."""
     rk, smallest = cfg["risk"], cfg["capital_aed"] * cfg["allocation"]["min_position_pct"] / 100
-    open_ = candidates.where("eligible and not coalesce(veto, false) and units > 0").join(budgets.select("market", "free").where("free > 0"), "market")
-    loose = {**cfg, "risk": {**rk, "heat_pct": 1e12, "exposure_pct": 1e12, "max_positions": {r: 10**6 for r in rk["max_positions"]}}}
-    chosen = select_portfolio(open_, correlations, loose).where("selected")
-    n = F.greatest(F.lit(1), F.least(by_key(F.col("regime"), rk["max_positions"], 0), F.floor(F.col("free") / smallest)))
-    place = F.row_number().over(W.partitionBy("market").orderBy(F.col("conviction").desc(), "ticker"))
-    return chosen.withColumn("place", place).where(F.col("place") <= n).drop("place")
+    open_ = candidates.drop("free").join(budgets.select("market", "free").where("free > 0"), "market")
+    open_ = stored(open_.where("eligible and not coalesce(veto, false) and units > 0"), "open")
+    loose = {**cfg, "risk": {**rk, "heat_pct": 1e12, "exposure_pct": 1e12}}
+    n = F.greatest(F.lit(1), by_key(F.col("regime"), rk["max_positions"], 0))
+    state = chosen_names(open_, near_by(correlations, returns, rk["corr"]), loose, n, max([1, *rk["max_positions"].values()]))
+    names = state.select("market", F.posexplode("taken").alias("place", "t")).select("market", "place", F.col("t.ticker").alias("ticker"))
+    # a greedy pass takes names in order, so one that ends earlier takes the first of them
+    affordable = F.greatest(F.lit(1), F.floor(F.col("free") / smallest)) if smallest > 0 else F.col("place") + 1
+    return open_.join(names, ["market", "ticker"]).where(F.col("place") < affordable).drop("place")
 
 
 def sleeve_weights(picks: DataFrame, cfg: dict) -> DataFrame:

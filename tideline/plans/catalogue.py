@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import backtest, crosssection, indicators, macro, ml, plan, regime, rules
 from ..sources import bars as source
-from ..storage import once
+from ..storage import once, stored
+from ..streaming import bars as ticks
+from ..streaming import live
 from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +43,18 @@ def rounded(df: DataFrame, keys: list[str], **places: int) -> DataFrame:
 # -- shared inputs
 
 
+def kept(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made of line items and parts, stored until these or the settings change."""
+    return once(spark, (name, sf), make, [f"{sf}/lineitem.parquet", f"{sf}/part.parquet"], CFG)
+
+
+def weekly(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly bars; made once for all queries that go on from there."""
+    return kept(spark, sf, "bars", lambda: source.brand_bars(spark, sf))
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    return indicators.with_market(source.brand_bars(spark, sf), CFG["markets"])
+    return indicators.with_market(weekly(spark, sf), CFG["markets"])
 
 
 def slid(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,12 +63,17 @@ def slid(spark: SparkSession, sf: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """The feature panel; made once for all queries that read it."""
-    return once(spark, ("panel", sf), lambda: indicators.features(bars(spark, sf), bench(spark, sf)))
+    return kept(spark, sf, "panel", lambda: indicators.features(bars(spark, sf), bench(spark, sf)))
+
+
+def returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Each brand's last sixty returns, stored."""
+    return kept(spark, sf, "returns", lambda: crosssection.last_returns(weekly(spark, sf)))
 
 
 def bench(spark: SparkSession, sf: str) -> DataFrame:
     """One brand stands for the market."""
-    return source.brand_bars(spark, sf).where("ticker = 'Brand#11'").drop("ticker")
+    return weekly(spark, sf).where("ticker = 'Brand#11'").drop("ticker")
 
 
 def regimes(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +84,7 @@ def regimes(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """The scored panel with all factors; made once for all queries that read it."""
-    return once(spark, ("scored", sf), lambda: crosssection.score_panel(panel(spark, sf), regimes(spark, sf), CFG["weights"]))
+    return kept(spark, sf, "scored", lambda: crosssection.score_panel(panel(spark, sf), regimes(spark, sf), CFG["weights"]))
 
 
 # -- shared SQL
@@ -239,7 +256,8 @@ RANKED = STEP + f", bw0 AS (SELECT ticker, date, idx, 4 * ({_sd}) / nullif({_mid
 
 @query("rolling_rank_bw", f"WITH {RANKED} SELECT ticker, date, round(bb_bw_pct, 6) AS bb_bw_pct FROM bw WHERE bb_bw_pct IS NOT NULL")
 def _(s, d):
-    return rounded(slid(s, d).where("bb_bw_pct is not null"), ["ticker", "date"], bb_bw_pct=6)
+    rows = indicators.recursive_means(indicators.inputs(bars(s, d)), {}, adx=False, macd=False)
+    return rounded(rows.where("bb_bw_pct is not null"), ["ticker", "date"], bb_bw_pct=6)
 
 
 @query("rel_strength", f"WITH {BARS}, j AS (SELECT b.*, last_value(i.close IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.date) AS bc FROM bars b LEFT JOIN (SELECT date, close FROM bars WHERE ticker = 'Brand#11') i USING (date)) SELECT ticker, date, round(close / {_lag(63)} - 1 - (bc / lag(bc, 63) OVER ({O}) - 1), 6) AS rs_3m FROM j")
@@ -251,7 +269,7 @@ def _(s, d):
 
 
 def featured(s: SparkSession, d: str) -> DataFrame:
-    return indicators.derived(indicators.recursive_means(slid(s, d)))
+    return indicators.derived(indicators.sliding(indicators.recursive_means(indicators.inputs(bars(s, d)))))
 
 
 def recursive_query(name: str, sql: dict[str, tuple[str, int]], prior: str = FULL, table: str = "m") -> None:
@@ -461,7 +479,7 @@ RETURNS = f"{BARS}, rt AS (SELECT ticker, date, close / nullif(lag(close) OVER (
 
 @query("returns_corr", f"WITH {RETURNS} SELECT x.ticker AS a, y.ticker AS b, round(covar_samp(x.ret, y.ret) / nullif(stddev_samp(x.ret) * stddev_samp(y.ret), 0), 6) AS corr, count(*) AS n FROM l60 x JOIN l60 y USING (date) WHERE x.ticker < y.ticker AND x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
-    return rounded(crosssection.correlations(crosssection.last_returns(source.brand_bars(s, d))), ["a", "b", "n"], corr=6)
+    return rounded(crosssection.correlations(returns(s, d)), ["a", "b", "n"], corr=6)
 
 
 # -- setups and plans
@@ -581,20 +599,46 @@ def _(s, d):
  pn AS (SELECT date, sum(aed * ret) AS pnl FROM j WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM j))
  SELECT (SELECT count(*) FROM h) AS n_positions, round((SELECT sum(aed) FROM h), 2) AS deployed_aed, round((SELECT sum(risk) FROM h), 2) AS heat_aed, round(stddev_samp(pnl), 3) AS one_day_sigma_aed FROM pn""")
 def _(s, d):
-    return rounded(plan.portfolio_risk(account(s, d), crosssection.last_returns(source.brand_bars(s, d)), CFG), ["n_positions"], deployed_aed=2, heat_aed=2, one_day_sigma_aed=3)
+    return rounded(plan.portfolio_risk(account(s, d), returns(s, d), CFG), ["n_positions"], deployed_aed=2, heat_aed=2, one_day_sigma_aed=3)
+
 
+def _greedy_sql(places: int, risk: str, pos: str, where: str, heat: float, exposure: float) -> str:
+    """One candidate further at a time: what is taken so far decides on the next."""
+    reason = f"""CASE WHEN len(taken) >= {places} THEN 'max {places} positions in RISK_ON' WHEN NOT elig THEN 'not actionable today' WHEN NOT coalesce(c.units > 0, false) THEN 'position too small for minimum lot'
+ WHEN len(list_filter(taken, lambda x: list_contains(c.others, x))) > 0 THEN 'correlated with ' || list_filter(taken, lambda x: list_contains(c.others, x))[1] || printf(' (%.2f)', c.corrs[list_position(c.others, list_filter(taken, lambda x: list_contains(c.others, x))[1])])
+ WHEN len(list_filter(sectors, lambda x: x = c.sector)) >= 2 THEN 'sector cap (' || c.sector || ')' WHEN heat + {risk} > {heat} + 1e-9 THEN 'portfolio heat cap' WHEN expo + {pos} > {exposure} + 1e-9 THEN 'capital fully deployed' ELSE '' END"""
+    return f"""{CANDS}, {RETURNS.removeprefix(BARS + ', ')}, cr AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) / nullif(stddev_samp(x.ret) * stddev_samp(y.ret), 0) AS corr FROM l60 x JOIN l60 y USING (date) WHERE x.ticker <> y.ticker AND x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2),
+ nr AS (SELECT a, list(b ORDER BY b) AS others, list(corr ORDER BY b) AS corrs FROM cr WHERE corr > 0.7 GROUP BY 1),
+ ca AS (SELECT row_number() OVER (ORDER BY conviction DESC, c2.ticker) AS i, c2.ticker, conviction, num % 4 <> 0 AS elig, 's' || num % 3 AS sector, units, units * r * 3.6725 AS risk, units * entry * 3.6725 AS pos, coalesce(others, []) AS others, coalesce(corrs, []) AS corrs FROM c2 LEFT JOIN nr ON nr.a = c2.ticker {where}),
+ gr AS (SELECT CAST(0 AS BIGINT) AS i, '' AS ticker, CAST(NULL AS DOUBLE) AS conviction, 'start' AS reason, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS sectors, CAST(0 AS DOUBLE) AS heat, CAST(0 AS DOUBLE) AS expo
+  UNION ALL SELECT i, ticker, conviction, reason, CASE WHEN reason = '' THEN list_append(taken, ticker) ELSE taken END, CASE WHEN reason = '' THEN list_append(sectors, sector) ELSE sectors END, CASE WHEN reason = '' THEN heat + risk ELSE heat END, CASE WHEN reason = '' THEN expo + pos ELSE expo END
+  FROM (SELECT c.*, gr.taken, gr.sectors, gr.heat, gr.expo, {reason} AS reason FROM gr JOIN ca c ON c.i = gr.i + 1))"""
 
-@query("portfolio_greedy")
+
+@query("portfolio_greedy", f"{_greedy_sql(6, 'c.risk', 'c.pos', '', 1000.0, 20000.0)} SELECT ticker, conviction, reason = '' AS selected, reason AS skip_reason FROM gr WHERE i > 0")
 def _(s, d):
-    corr = crosssection.correlations(crosssection.last_returns(source.brand_bars(s, d)))
-    return plan.select_portfolio(candidates(s, d), corr, CFG).select("ticker", "conviction", "selected", "skip_reason")
+    return plan.select_portfolio(candidates(s, d), None, CFG, returns(s, d)).select("ticker", "conviction", "selected", "skip_reason")
 
 
-@query("sleeve_picks")
+@query("sleeve_picks", f"{_greedy_sql(6, '0', '0', 'WHERE num % 4 <> 0 AND units > 0', 1e12, 1e12)} SELECT ticker, conviction, CAST(9000 AS DOUBLE) AS free FROM gr WHERE i > 0 AND reason = ''")
 def _(s, d):
-    corr = crosssection.correlations(crosssection.last_returns(source.brand_bars(s, d)))
     budgets = s.createDataFrame([("brand", 9000.0)], "market string, free double")
-    return plan.sleeve_picks(candidates(s, d).drop("free"), budgets, corr, CFG).select("ticker", "conviction", "free")
+    return plan.sleeve_picks(candidates(s, d).drop("free"), budgets, None, CFG, returns(s, d)).select("ticker", "conviction", "free")
+
+
+_LIVE = f"""{CANDS}, lq AS (SELECT 'Brand#' || (user_id % 25 + 1) AS ticker, arg_max(500 * value - 2000, (ts, event_id)) AS live, max(ts) AS quoted FROM events GROUP BY 1),
+ ls AS (SELECT *, row_number() OVER (ORDER BY conviction DESC, ticker) AS place FROM c2 WHERE num % 4 <> 0 QUALIFY place <= 12),
+ lm AS (SELECT ls.*, live, CASE WHEN live > 0 AND kind IN ('breakout', 'momentum', 'bounce') THEN live - entry ELSE 0 END AS sh FROM ls LEFT JOIN lq USING (ticker)),
+ lv AS (SELECT ticker, place, live, entry + sh AS entry, stop + sh AS stop, entry + 1.5 * r + sh AS t1 FROM lm)"""
+
+
+@query("live_shortlist", f"{_LIVE} SELECT ticker, place, round(live, 6) AS live, round(entry, 4) AS entry, round(stop, 4) AS stop, round(t1, 4) AS t1, CASE WHEN live > 0 THEN round(100 * (entry / live - 1), 6) END AS to_entry_pct, CASE WHEN NOT coalesce(live > 0, false) THEN 'no quote' WHEN live <= stop THEN 'below stop' WHEN live >= t1 THEN 'beyond target' WHEN live >= entry THEN 'at entry' ELSE 'waiting' END AS state FROM lv")
+def _(s, d):
+    """Events as a stream of quotes, followed against the stored shortlist; the state at their end."""
+    listed = stored(live.shortlist(candidates(s, d)), "shortlist")
+    events = ticks.read_events(s, f"{d}/events.parquet")
+    quotes = events.select(F.lit("brand").alias("market"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("ticker"), (500 * F.col("value") - 2000).alias("price"), "ts", F.col("event_id").alias("seq"))
+    return rounded(live.run(quotes, listed), ["ticker", "place", "state"], live=6, entry=4, stop=4, t1=4, to_entry_pct=6)
 
 
 @query("holdings_review", f"""{CANDS}, h(ticker, units, entry0, stop0) AS (VALUES ('Brand#11', 2.0, 20000.0, NULL), ('Brand#12', 1.0, 90000.0, 95000.0), ('Brand#13', 3.0, 30000.0, 100.0), ('nothing', 1.0, 5.0, NULL)),

@@ -73,7 +73,7 @@ class Engine:
         scored = stored(self.scored(panel, regimes), "scored")
         returns = crosssection.last_returns(bars)
         rows = self.candidates(scored, regimes, **side)
-        return Scan(scored, regimes, stored(plan.select_portfolio(rows, crosssection.correlations(returns), self.cfg), "candidates"), returns)
+        return Scan(scored, regimes, stored(plan.select_portfolio(rows, None, self.cfg, returns), "candidates"), returns)
 
     def backtest(self, scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         floors = {m: float(s["adv_floor"]) for m, s in self.cfg["markets"].items()}
@@ -102,7 +102,7 @@ class Engine:
             holdings = self.spark.createDataFrame([], "market string, ticker string, units double, entry double, stop double")
         review = plan.holdings_review(holdings, c, self.cfg)
         budgets = plan.free_budget(sleeves, review)
-        picks = plan.sleeve_picks(c.join(holdings.select("market", "ticker"), ["market", "ticker"], "left_anti").drop("selected", "skip_reason"), budgets, crosssection.correlations(scan.returns), self.cfg)
+        picks = plan.sleeve_picks(c.join(holdings.select("market", "ticker"), ["market", "ticker"], "left_anti").drop("selected", "skip_reason"), budgets, None, self.cfg, scan.returns)
         rows = plan.account_limits(plan.positions(plan.capped(plan.sleeve_weights(plan.with_live(picks), self.cfg), self.cfg), self.cfg), self.cfg)
         kept = review.where(~F.col("action").isin("EXIT", "REVIEW")).agg(F.coalesce(F.sum("value_aed"), F.lit(0.0)).alias("held_aed"))
         cash = rows.agg(F.coalesce(F.sum("aed"), F.lit(0.0)).alias("new_aed")).join(F.broadcast(kept), F.lit(True)).withColumn("cash_aed", F.lit(float(self.cfg["capital_aed"])) - F.col("new_aed") - F.col("held_aed"))

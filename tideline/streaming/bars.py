@@ -9,8 +9,9 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of Parquet files as a stream, with ts as a timestamp."""
-    return spark.readStream.schema(EVENTS).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """A folder of Parquet files, or one file, as a stream, with ts as a timestamp."""
+    pattern = f"{folder.rstrip('/')[:-1]}[{folder.rstrip('/')[-1]}]"  # the source takes a lone file only by a pattern
+    return spark.readStream.schema(EVENTS).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_bars(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
