@@ -16,7 +16,7 @@ FUNDAMENTAL = {"fundamentals": {"roe": 1, "gross_margin": 0.75, "low_leverage":
 SENTIMENT = {"sentiment": {"news_sent": 1, "news_attention": 0.25, "funding_contrarian": 1, "social_bull": 0.5, "social_buzz": 0.25}}
 GROUPS = ["trend", "momentum", "timing", "volatility", "volume", "fundamentals", "sentiment"]
 DEFAULTS = {
-    "capital_aed": 20000.0, "usd_aed": 3.6725, "horizon": 15, "rebalance": 5,
+    "capital_aed": 20000.0, "usd_aed": 3.6725, "horizon": 15, "rebalance": 5, "least_bars": 120, "least_names": 5,
     "weights": {
         "RISK_ON": [0.20, 0.25, 0.15, 0.10, 0.10, 0.10, 0.10],
         "NEUTRAL": [0.20, 0.15, 0.25, 0.10, 0.10, 0.15, 0.05],
@@ -38,9 +38,9 @@ DEFAULTS = {
 }
 
 
-def load(overrides: dict | None = None) -> dict:
-    """The defaults with nested overrides put over them; missing keys keep their default."""
-    out = copy.deepcopy(DEFAULTS)
+def load(overrides: dict | None = None, base: dict | None = None) -> dict:
+    """The defaults (or another base) with nested overrides put over them; missing keys keep their default."""
+    out = copy.deepcopy(DEFAULTS if base is None else base)
 
     def put(into: dict, new: dict) -> None:
         for k, v in new.items():
@@ -53,6 +53,32 @@ def load(overrides: dict | None = None) -> dict:
     return out
 
 
+#: Below these keys users add names of their own, shaped as the ones that are there.
+NAMED = ("markets", "weights")
+
+
+def unknown_keys(own: dict, template: dict | None = None, prefix: str = "") -> list[str]:
+    """Keys of own that the template lacks, or that are no mapping where it has one, as dotted paths."""
+    template, found = DEFAULTS if template is None else template, []
+    for k, v in own.items():
+        path = f"{prefix}{k}"
+        like = next(iter(template.values()), None) if prefix.rstrip(".") in NAMED and k not in template else template.get(k)
+        if like is None or isinstance(like, dict) != isinstance(v, dict):
+            found.append(path)
+        elif isinstance(v, dict):
+            found += unknown_keys(v, like, f"{path}.")
+    return found
+
+
+def checked(overrides: dict | None) -> dict:
+    """load(), for settings that come from outside: an unknown key or a value of another shape is an error."""
+    if overrides is not None and not isinstance(overrides, dict):
+        raise ValueError("settings must be a mapping")
+    if wrong := unknown_keys(overrides or {}):
+        raise ValueError(f"unknown settings: {', '.join(wrong)}")
+    return load(overrides)
+
+
 def missing_keys(own: dict, template: dict, prefix: str = "") -> list[str]:
     """Keys of template that own lacks, as dotted paths."""
     found = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,11 +140,42 @@ def last_returns(bars: DataFrame, lookback: int = 60) -> DataFrame:
     return rets.withColumn("back", F.row_number().over(back)).where(F.col("back") <= lookback).drop("back")
 
 
-def correlations(returns: DataFrame) -> DataFrame:
-    """Pearson correlation of each pair of a market's instruments over the dates they share (a before b)."""
-    a = returns.select("market", "date", F.col("ticker").alias("a"), F.col("ret").alias("ra"))
-    b = returns.select("market", "date", F.col("ticker").alias("b"), F.col("ret").alias("rb"))
-    return a.join(b, ["market", "date"]).where("a < b").groupBy("market", "a", "b").agg(guarded_corr("ra", "rb").alias("corr"), F.count(F.col("ra") + F.col("rb")).alias("n"))
+def correlations(returns: DataFrame, block: int = 128) -> DataFrame:
+    """Pearson correlation of each pair of a market's instruments over the dates they share (a before b), and the number of those dates.
+
+    Instruments are dealt to blocks; a pair of blocks is one task, which lays both out
+    over their dates and takes sums, squares, products and counts as matrix products, gaps being
+    zeros with zero weight. A row travels once for each block of its market.
+    """
+    counts = returns.groupBy("market").agg(F.ceil(F.approx_count_distinct("ticker") / block).cast("int").alias("blocks"))
+    own = returns.join(counts, "market").withColumn("own", F.pmod(F.xxhash64("ticker"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = own.select("market", "ticker", "date", "ret", "own", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def gram(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ticker", "date"])
+        names, at = np.unique(rows["ticker"].to_numpy(str), return_inverse=True)
+        dates, when = np.unique(rows["date"].to_numpy(), return_inverse=True)
+        home = np.zeros(len(names), np.int64)
+        home[at] = rows["own"]
+        ret = rows["ret"].to_numpy(float)
+        there, seen, x = (np.zeros((len(names), len(dates))) for _ in range(3))
+        there[at, when], seen[at, when] = 1, ~np.isnan(ret)
+        mean = np.nanmean(ret) if seen.any() else 0.0  # a shift changes no correlation, and keeps digits
+        x[at, when] = np.where(np.isnan(ret), 0.0, ret - mean)
+        a, b = np.flatnonzero(home == key[1]), np.flatnonzero(home == key[2])
+        of = lambda m, n: m[a] @ n[b].T
+        n, sx, sy = of(seen, seen), of(x, seen), of(seen, x)
+        low, sxx, syy, sxy = np.maximum(n, 1), of(x * x, seen), of(seen, x * x), of(x, x)
+        vx, vy, cov = sxx - sx * sx / low, syy - sy * sy / low, sxy - sx * sy / low
+        flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy) | (n < 2)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = np.where(flat, np.nan, cov / np.sqrt(vx * vy))
+        p, q = np.nonzero((of(there, there) > 0) & (names[a][:, None] < names[b][None, :] if key[1] == key[2] else np.ones((len(a), len(b)), bool)))
+        one, two = names[a][p], names[b][q]
+        return pd.DataFrame({"market": key[0], "a": np.minimum(one.astype(object), two.astype(object)), "b": np.maximum(one.astype(object), two.astype(object)), "corr": corr[p, q], "n": n[p, q].astype(np.int64)})
+
+    return pairs.groupBy("market", "i", "j").applyInPandas(gram, "market string, a string, b string, corr double, n long")
 
 
 def correlations_with(returns: DataFrame, names: DataFrame) -> DataFrame:

@@ -203,6 +203,29 @@ def market_sleeves(states: DataFrame, cfg: dict, oil_bull: bool | None = None, d
     return out.withColumn("budget", capital * F.col("share") * F.when((total > most) & F.lit(most > 0), most / total).otherwise(1.0))
 
 
+# What trims a sleeve's budget.
+TRIMS = {"regime": "%s regime ×%.2f", "ic": "weak signal history (IC t=%.1f) ×%.2f", "macro": "%s ×%.2f", "note": "%s: budget trimmed — %s"}
+MACRO_TRIMS = {"uae": "oil downtrend", "crypto": "strong dollar", "us": "yields spiking with credit risk-off"}
+
+
+def sleeve_notes(sleeves: DataFrame) -> DataFrame:
+    """sleeves with `note`: why a market's budget is smaller than its base share, null where nothing trims it."""
+    t = F.round(F.coalesce("ic_t", F.lit(0.0)), 2)
+    bits = F.array(
+        F.when(F.col("regime_mult") < 1, F.format_string(TRIMS["regime"], F.replace(F.lower("regime"), F.lit("_"), F.lit(" ")), F.col("regime_mult"))),
+        F.when(F.col("ic_mult") < 1, F.format_string(TRIMS["ic"], t, F.col("ic_mult"))),
+        F.when(F.col("macro_mult") < 1, F.format_string(TRIMS["macro"], by_key(F.col("market"), MACRO_TRIMS, ""), F.col("macro_mult"))),
+    )
+    why = F.array_join(F.array_compact(bits), ", ")
+    return sleeves.withColumn("note", F.when(why != "", F.format_string(TRIMS["note"], F.col("market"), why)))
+
+
+def retotalled(sleeves: DataFrame, positions: DataFrame) -> DataFrame:
+    """sleeves with new_aed: what the account's limits left of each market's positions."""
+    new = positions.groupBy("market").agg(F.sum("aed").alias("new_aed"))
+    return sleeves.drop("new_aed").join(new, "market", "left").withColumn("new_aed", F.coalesce("new_aed", F.lit(0.0)))
+
+
 def holdings_review(holdings: DataFrame, candidates: DataFrame, cfg: dict) -> DataFrame:
     """Action, reason and suggested stop of what is held; candidates carry regime and live (nullable)."""
     rk = cfg["risk"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import backtest, crosssection, indicators, ml, plan, regime, rules
 from ..sources import bars as source
+from ..sources import files
 from ..storage import stored
 
 
@@ -24,8 +25,20 @@ class Scan:
 class Engine:
     """One set of settings over one session; every method is lazy unless its operator says otherwise."""
 
-    def __init__(self, spark: SparkSession, overrides: dict | None = None):
-        self.spark, self.cfg = spark, config.load(overrides)
+    def __init__(self, spark: SparkSession, overrides: dict | None = None, settings: str | None = None):
+        """overrides go over the settings of a file (JSON or YAML), if one is named, and these over the defaults."""
+        self.spark = spark
+        self.cfg = config.load(overrides, None if settings is None else files.read_settings(spark, settings))
+
+    def holdings(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """What is held, for account_plan(), and the rows of the file that cannot be used."""
+        return files.read_holdings(self.spark, path)
+
+    def loaded(self, bars: DataFrame) -> DataFrame:
+        """Instruments with enough bars, of markets with enough instruments: what a scan works on."""
+        enough = source.with_enough(bars, self.cfg["least_bars"])
+        names = enough.select("market", "ticker").distinct().groupBy("market").agg(F.count("*").alias("n")).where(F.col("n") >= self.cfg["least_names"])
+        return enough.join(names.select("market"), "market", "left_semi")
 
     def panel(self, bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
         return indicators.features(indicators.with_market(bars, self.cfg["markets"]), bench, self.cfg["horizon"])
@@ -67,11 +80,13 @@ class Engine:
         return rows.withColumns({"liquid": liquid, "conviction": crosssection.adjusted_conviction(base, plan.setup_allows(), F.col("earnings_flag"), liquid), "why": rules.explained(rows.columns)})
 
     def scan(self, bars: DataFrame, bench: DataFrame | None = None, **side) -> Scan:
-        """Without a benchmark the equal-weight index stands in for the regime. Panel, scores and candidates are stored, as each is read several times."""
+        """All markets of the bars at once. Without a benchmark each market's equal-weight index stands in. What is read several times is stored."""
+        bars = stored(self.loaded(bars), "bars")
+        bench = stored(source.equal_weight_index(bars), "index") if bench is None else bench
         panel = stored(self.panel(bars, bench), "panel")
-        regimes = self.regimes(source.equal_weight_index(bars) if bench is None else bench, panel, side.pop("vix", None), side.pop("credit", None))
+        regimes = stored(self.regimes(bench, panel, side.pop("vix", None), side.pop("credit", None)), "regimes")
         scored = stored(self.scored(panel, regimes), "scored")
-        returns = crosssection.last_returns(bars)
+        returns = stored(crosssection.last_returns(bars), "returns")
         rows = self.candidates(scored, regimes, **side)
         return Scan(scored, regimes, stored(plan.select_portfolio(rows, None, self.cfg, returns), "candidates"), returns)
 
@@ -82,8 +97,8 @@ class Engine:
 
     def validate(self, universe: DataFrame, bars: DataFrame) -> DataFrame:
         """Coverage by market: listed, loaded, missing, latest bar."""
-        have = bars.groupBy("ticker").agg(F.max("date").alias("last"))
-        return universe.join(have, "ticker", "left").groupBy("market").agg(F.count("*").alias("listed"), F.count("last").alias("loaded"), F.sum(F.col("last").isNull().cast("int")).alias("missing"), F.max("last").alias("latest_bar"))
+        have = bars.groupBy("market", "ticker").agg(F.max("date").alias("last"))
+        return universe.join(have, ["market", "ticker"], "left").groupBy("market").agg(F.count("*").alias("listed"), F.count("last").alias("loaded"), F.sum(F.col("last").isNull().cast("int")).alias("missing"), F.max("last").alias("latest_bar"))
 
     def ml(self, scored: DataFrame) -> DataFrame:
         return ml.metrics(ml.walk_forward(scored, self.cfg))
@@ -93,7 +108,7 @@ class Engine:
         return plan.sized(row, self.cfg)
 
     def account_plan(self, scan: Scan, ic: DataFrame, holdings: DataFrame | None = None, live: DataFrame | None = None, **macro) -> dict[str, DataFrame]:
-        """Sleeves, review of holdings, positions and their joint risk. live: (market, ticker, live)."""
+        """Sleeves with notes and what was bought in each, review of holdings, positions, their joint risk, cash. live: (market, ticker, live)."""
         c = scan.candidates.drop("live")
         c = c.withColumn("live", F.lit(None).cast("double")) if live is None else c.join(live, ["market", "ticker"], "left")
         states = c.groupBy("market").agg(F.first("regime").alias("regime")).join(ic.select("market", "ic_t"), "market", "left")
@@ -103,7 +118,9 @@ class Engine:
         review = plan.holdings_review(holdings, c, self.cfg)
         budgets = plan.free_budget(sleeves, review)
         picks = plan.sleeve_picks(c.join(holdings.select("market", "ticker"), ["market", "ticker"], "left_anti").drop("selected", "skip_reason"), budgets, None, self.cfg, scan.returns)
-        rows = plan.account_limits(plan.positions(plan.capped(plan.sleeve_weights(plan.with_live(picks), self.cfg), self.cfg), self.cfg), self.cfg)
+        rows = stored(plan.account_limits(plan.positions(plan.capped(plan.sleeve_weights(plan.with_live(picks), self.cfg), self.cfg), self.cfg), self.cfg), "positions")
         kept = review.where(~F.col("action").isin("EXIT", "REVIEW")).agg(F.coalesce(F.sum("value_aed"), F.lit(0.0)).alias("held_aed"))
         cash = rows.agg(F.coalesce(F.sum("aed"), F.lit(0.0)).alias("new_aed")).join(F.broadcast(kept), F.lit(True)).withColumn("cash_aed", F.lit(float(self.cfg["capital_aed"])) - F.col("new_aed") - F.col("held_aed"))
-        return {"sleeves": budgets, "holdings": review, "positions": rows, "risk": plan.portfolio_risk(rows, scan.returns, self.cfg), "cash": cash}
+        share = F.col("cash_aed") / float(self.cfg["capital_aed"])
+        cash = cash.withColumns({"cash_pct": 100 * share, "much_cash": share > 0.4})
+        return {"sleeves": plan.retotalled(plan.sleeve_notes(budgets), rows), "holdings": review, "positions": rows, "risk": plan.portfolio_risk(rows, scan.returns, self.cfg), "cash": cash}

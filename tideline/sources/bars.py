@@ -72,8 +72,8 @@ def from_wide(wide: DataFrame, fields: tuple[str, ...] = ("Open", "High", "Low",
 
 def with_enough(bars: DataFrame, least: int = 120) -> DataFrame:
     """Instruments with at least so many bars."""
-    own = W.partitionBy("market", "ticker")
-    return bars.withColumn("n_bars", F.count("*").over(own)).where(F.col("n_bars") >= least).drop("n_bars")
+    n = bars.groupBy("market", "ticker").agg(F.count("*").alias("n_bars")).where(F.col("n_bars") >= least)
+    return bars.join(n.select("market", "ticker"), ["market", "ticker"], "left_semi").select(*bars.columns)
 
 
 def first_available(*candidates: DataFrame) -> DataFrame:
