@@ -116,8 +116,8 @@ def mod_of_id(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def prefiltered(rows: DataFrame, column: str, keys: DataFrame, n: int, most_bits: int = 27) -> DataFrame:
-    """The rows whose column is among the n keys (a column of the same name), and a few others by chance.
+def prefiltered(rows: DataFrame, column: str, keys: DataFrame, n: int, most_bits: int = 27, how: str = "left_semi") -> DataFrame:
+    """The rows whose column is among the n keys (a column of the same name), and a few others by chance; with left_anti all rows but these.
 
     A bitmap of the keys' hashes is broadcast, 16 bits a key up to 2**most_bits
     bits (16 MB) however many keys there are; beyond some ten million keys it
@@ -130,7 +130,7 @@ def prefiltered(rows: DataFrame, column: str, keys: DataFrame, n: int, most_bits
     byte = F.conv(F.hex(F.substr("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = rows.withColumn("_h", hashed)
     hit = (marked["_h"] / 32768).cast("long") == maps["_part"]
-    return marked.join(F.broadcast(maps), hit & (F.expr("1 << cast(_h % 8 as int)").bitwiseAND(byte) != 0), "left_semi").drop("_h")
+    return marked.join(F.broadcast(maps), hit & (F.expr("1 << cast(_h % 8 as int)").bitwiseAND(byte) != 0), how).drop("_h")
 
 
 def lowest(rows: DataFrame, group: str, mark: str, most: int) -> DataFrame:

@@ -18,7 +18,7 @@ components, not members with each other. The shared shingles of a member y with
 its best leader x are kept as its answer. Two sets y, z of the same leader share
 between |xy| + |xz| - |x| and min(|xy|, |xz|) + min(|y| - |xy|, |z| - |xz|)
 shingles, so most pairs of a family are linked, or ruled out, by what x's answers
-say; only the rest read sets. Rounds go on, with more leaders each, until no
+say, others by bitmaps of both; only the rest read texts. Rounds go on, with more leaders each, until no
 block holds two members of different components that were not compared.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a text without
@@ -46,7 +46,7 @@ from .bagminhash import components
 from .common import batches_by_bytes, forget, frugal, materialize, prefiltered
 from .words import Chunk, shingles
 
-BUCKETS = 1 << 18
+BUCKETS, BITS = 1 << 18, 2048
 
 
 def _sets(texts: list[str | None], size: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
@@ -87,19 +87,28 @@ def bucket_counts(own: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(node, n, prefix): each distinct set's first shingles, rare ones first."""
+    """(node, n, prefix, bits) of each row: its set's first shingles, rare ones first, and a bitmap of all."""
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, text, value, nodes, n in _sets(frame["text"].tolist(), size):
+                bits = np.zeros((len(n), BITS), np.uint8)
+                bits[text, (value >> np.uint64(40)).astype(np.int64) % BITS] = 1
                 value = value[np.lexsort((value, counts[(value % np.uint64(BUCKETS)).astype(np.int64)], text))].view(np.int64)
                 at = np.concatenate([[0], np.cumsum(n)])[:-1]
                 most = n - -(-percent * n // 100) + 1
-                yield pd.DataFrame({"node": nodes, "n": n, "prefix": [value[i : i + m] for i, m in zip(at, np.minimum(most, n))]})
+                yield pd.DataFrame({"node": nodes, "n": n, "prefix": [value[i : i + m] for i, m in zip(at, np.minimum(most, n))], "bits": list(np.packbits(bits, axis=1).view(np.int64))})
 
-    out = docs.select("text").mapInPandas(run, "node binary, n long, prefix array<long>").where("n > 0")
-    return out.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return docs.select("text").mapInPandas(run, "node binary, n long, prefix array<long>, bits array<long>").where("n > 0")
+
+
+def each_once(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with each node once; only those of nodes that occur more than once are shuffled."""
+    many = nodes.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node")
+    n = many.count()
+    lone, copies = (prefiltered(rows, "node", many, n, how=how) for how in ("left_anti", "left_semi"))
+    return lone.unionByName(copies.groupBy("node").agg(*(F.first(c).alias(c) for c in rows.columns if c != "node")).select(*rows.columns))
 
 
 def contents(docs: DataFrame, size: int) -> DataFrame:
@@ -138,6 +147,15 @@ def _near(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(rest, n, m, percent)
 
 
+def bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that bitmaps leave open: a bit of one set alone is a shingle that the other lacks."""
+    side = lambda name: marks.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+    alone = lambda x, y: F.aggregate(F.zip_with(f"bits_{x}", f"bits_{y}", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
+    n, m = F.col("size_a"), F.col("size_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_enough(F.least(n - alone("a", "b"), m - alone("b", "a")), n, m, percent)).select(*pairs.columns)
+
+
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) with the number of shingles that both have, and both sizes; of the texts only what pairs name is shuffled."""
     count = pairs.count()
@@ -167,15 +185,10 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def texts_of(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(node, text) of each member, once, found by the id that stands for it."""
-    ids = members.select("doc_id").where("doc_id is not null")
-    wanted = prefiltered(rows, "doc_id", ids, members.count()).join(ids, "doc_id", "left_semi")
-    out = contents(wanted, size).join(members.select("node"), "node", "left_semi")
-    # a text is shuffled to find its copies only where an id does come with the same set twice
-    if nodes.join(members, ["doc_id", "node"], "left_semi").count() > ids.count():
-        out = out.dropDuplicates(["node"])
-    lone = contents(rows.where("doc_id is null"), size).join(members.where("doc_id is null").select("node"), "node", "left_semi")
-    return out.unionByName(lone.dropDuplicates(["node"]))
+    """(node, text) of each member, once, and of some other rows by chance: found by the id that stands for it, without a shuffle but of copies."""
+    ids, n = members.select("doc_id").where("doc_id is not null"), members.count()
+    wanted = prefiltered(rows, "doc_id", ids, n).unionByName(rows.where("doc_id is null"))
+    return each_once(prefiltered(contents(wanted, size), "node", members.select("node"), n), nodes)
 
 
 def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -183,14 +196,18 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     rows = docs.select("doc_id", "text")
     own = materialize(keyed(rows, size), "keyed")
     nodes = own.where("node is not null")
-    heads = materialize(prefixes(rows, size, percent, bucket_counts(own)), "prefixes")
+    drawn = materialize(prefixes(rows, size, percent, bucket_counts(own)), "prefixes")
+    heads = each_once(drawn.select("node", "n", "prefix"), nodes)
     shared = materialize(heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token"), "shared")
     each = heads.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = materialize(prefiltered(each, "token", shared, shared.count()).join(shared, "token").select("token", "node", "n", "pos"), "postings")
-    forget(heads, shared)
+    forget(shared)
     entries = materialize(blocks(postings, percent), "blocks")
     forget(postings)
     members = materialize(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(entries.select("node").distinct(), "node", "left_semi"), "members")
+    marks = prefiltered(drawn.select("node", F.col("n").alias("size"), "bits"), "node", members.select("node"), members.count())
+    marks = materialize(marks.dropDuplicates(["node"]), "marks")
+    forget(drawn)
     texts = materialize(texts_of(rows, nodes, members, size), "texts")
     labels = materialize(members.select("node", F.col("node").alias("comp")), "labels")
     forget(members)
@@ -198,7 +215,9 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     open_, held, answers = entries.where("node <> node_a").select("block", "node", "n", "pos"), [entries], None
     for leaders in (32**i for i in itertools.count(1)):
         pairs = materialize(found.distinct(), "pairs")
-        checked = materialize(compared(pairs.where("not sure").select("a", "b"), texts, size), "checked")
+        near = materialize(bounded(pairs.where("not sure").select("a", "b"), marks, percent), "near")
+        checked = materialize(compared(near, texts, size), "checked")
+        forget(near)
         links = checked.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").unionByName(pairs.where("sure").select("a", "b"))
         labels = components(labels, links)
         best = checked.select(F.col("b").alias("node"), F.struct((F.col("both") / F.col("n_b")).alias("share"), F.col("a").alias("base"), "both", F.col("n_a").alias("size")).alias("answer"))
@@ -224,7 +243,7 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         found = open_.withColumnRenamed("block", "k").join(first, (F.col("k") == F.col("block")) & may).select(F.col("node_a").alias("a"), F.col("node").alias("b"), sure.alias("sure"))
         held, led = [open_, first], first.select("block", F.col("node_a").alias("node"))
         open_ = open_.select("block", "node", "n", "pos").join(led, ["block", "node"], "left_anti")
-    forget(texts, open_, answers)
+    forget(texts, marks, open_, answers)
     named = nodes.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     least = materialize(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "comp", "left")
