@@ -18,7 +18,8 @@ components, not members with each other. The shared shingles of a member y with
 its best leader x are kept as its answer. Two sets y, z of the same leader share
 between |xy| + |xz| - |x| and min(|xy|, |xz|) + min(|y| - |xy|, |z| - |xz|)
 shingles, so most pairs of a family are linked, or ruled out, by what x's answers
-say, others by bitmaps of both; only the rest read texts. Rounds go on, with more leaders each, until no
+say, others by bitmaps of both (whose bound is an answer too); only the rest read
+texts. Rounds go on, with more leaders each, until no
 block holds two members of different components that were not compared.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a text without
@@ -147,13 +148,12 @@ def _near(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(rest, n, m, percent)
 
 
-def bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs that bitmaps leave open: a bit of one set alone is a shingle that the other lacks."""
-    side = lambda name: marks.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both sizes and `high`, the most that they can share by their bitmaps: a bit of one set alone is a shingle that the other lacks."""
+    side = lambda name: marks.select(F.col("node").alias(name), F.col("size").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     alone = lambda x, y: F.aggregate(F.zip_with(f"bits_{x}", f"bits_{y}", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
-    n, m = F.col("size_a"), F.col("size_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_enough(F.least(n - alone("a", "b"), m - alone("b", "a")), n, m, percent)).select(*pairs.columns)
+    return both.select("a", "b", "n_a", "n_b", F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a")).alias("high"))
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -215,15 +215,17 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     open_, held, answers = entries.where("node <> node_a").select("block", "node", "n", "pos"), [entries], None
     for leaders in (32**i for i in itertools.count(1)):
         pairs = materialize(found.distinct(), "pairs")
-        near = materialize(bounded(pairs.where("not sure").select("a", "b"), marks, percent), "near")
-        checked = materialize(compared(near, texts, size), "checked")
-        forget(near)
+        looked = materialize(bounded(pairs.where("not sure").select("a", "b"), marks), "looked")
+        may = _enough(F.col("high"), F.col("n_a"), F.col("n_b"), percent)
+        checked = materialize(compared(looked.where(may).select("a", "b"), texts, size), "checked")
         links = checked.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").unionByName(pairs.where("sure").select("a", "b"))
         labels = components(labels, links)
-        best = checked.select(F.col("b").alias("node"), F.struct((F.col("both") / F.col("n_b")).alias("share"), F.col("a").alias("base"), "both", F.col("n_a").alias("size")).alias("answer"))
-        old = answers
+        # a member's answer: what it shares with a leader, exactly or, where bitmaps rule the pair out, at most; exact ones go first
+        exact = checked.select(F.col("b").alias("node"), F.struct((F.col("both") / F.col("n_b")).alias("share"), F.col("a").alias("base"), F.col("both").alias("low"), F.col("both").alias("high"), F.col("n_a").alias("size")).alias("answer"))
+        bound = looked.where(~may).select(F.col("b").alias("node"), F.struct((F.col("high") / F.col("n_b") - 1).alias("share"), F.col("a").alias("base"), F.lit(0).cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("n_a").alias("size")).alias("answer"))
+        old, best = answers, exact.unionByName(bound)
         answers = materialize((best if old is None else best.unionByName(old)).groupBy("node").agg(F.max("answer").alias("answer")), "answers")
-        forget(pairs, checked, old)
+        forget(pairs, looked, checked, old)
         # blocks whose members are of one component stay so; only the others go on
         named = open_.join(labels, "node")
         mixed = materialize(named.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("block"), "mixed")
@@ -236,10 +238,10 @@ def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         first = materialize(first.select("block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "comp", "answer"))), "leaders")
         n, m, x, y = F.col("n"), F.col("n_a"), F.col("answer"), F.col("answer_a")
         same = F.coalesce(x["base"] == y["base"], F.lit(False))
-        most = F.least(x["both"], y["both"]) + F.least(n - x["both"], m - y["both"])
+        most = F.least(x["high"], y["high"]) + F.least(n - x["low"], m - y["low"])
         known = F.coalesce(x["base"] == F.col("node_a"), F.lit(False)) | F.coalesce(y["base"] == F.col("node"), F.lit(False))
         may = (F.col("comp") != F.col("comp_a")) & _near(percent) & ~known & (~same | _enough(most, n, m, percent))
-        sure = same & _enough(x["both"] + y["both"] - x["size"], n, m, percent)
+        sure = same & _enough(x["low"] + y["low"] - x["size"], n, m, percent)
         found = open_.withColumnRenamed("block", "k").join(first, (F.col("k") == F.col("block")) & may).select(F.col("node_a").alias("a"), F.col("node").alias("b"), sure.alias("sure"))
         held, led = [open_, first], first.select("block", F.col("node_a").alias("node"))
         open_ = open_.select("block", "node", "n", "pos").join(led, ["block", "node"], "left_anti")
