@@ -1,6 +1,8 @@
 """Operators on small tables with the odd cases: nulls, empty texts, ties, repeated rows, empty tables, clashing names."""
 
+import functools
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -8,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,6 +55,43 @@ def test_codec_equals_library():
     assert any(len(codec.fragments(p)) > 1 for p in ("漢字é".encode(), b"zqxjzq"))
 
 
+def test_real_texts_are_cut_at_byte_pairs():
+    """On the given documents cuts give more fragments than the pre-tokenizer gives pieces, every word of the corpus goes that way, and ids equal the library's."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    library, codec = Tokenizer.from_file(PATH), bpe.Codec(PATH)
+    calls, ways = Counter(), {name: getattr(codec, name) for name in ("cut_up", "cut_plain")}
+
+    def counted(name, text):
+        found = ways[name](text)
+        assert found[0] == ways["cut_up"](text)[0]  # both ways cut alike
+        calls.update(pieces=len(ByteLevel(add_prefix_space=False).pre_tokenize_str(text)), fragments=len(found[0]), words=len(text.split()))
+        return found
+
+    codec.cut_up, codec.cut_plain = (functools.partial(counted, name) for name in ways)
+    got = codec.encode_all(texts)
+    assert [i.tolist() for i in got] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert calls["fragments"] > calls["pieces"] > 0
+    assert calls["words"] >= len({w for t in texts for w in (t or "").split()}) / 2
+
+
+def test_fragments_merge_by_the_ranks_of_the_file():
+    """Pair of least rank, leftmost first, one at a time; and a text's fragments give the ids of the text."""
+    spec = json.load(open(PATH, encoding="utf-8"))["model"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["merges"])}
+    codec = bpe.Codec(PATH)
+    rng = random.Random(8)
+    for text in ["aaaaaaaaaaa", "abababab", "zqxjzq", " the", "é" * 20, *("".join(rng.choice("aeinrst e") for _ in range(rng.randint(1, 30))) for _ in range(200))]:
+        back = {b: c for c, b in codec.letters.items()}
+        parts = [back[b] for b in text.encode()]
+        while (best := min(((rank.get(p, len(rank)), i) for i, p in enumerate(zip(parts, parts[1:]))), default=(len(rank), 0)))[0] < len(rank):
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert np.frombuffer(codec.merged(text.encode()), "<u4").tolist() == [spec["vocab"][p] for p in parts]
+        cut = codec.fragments(text.encode())
+        assert b"".join(cut) == text.encode() and b"".join(map(codec.merged, cut)) == codec.merged(text.encode())
+
+
 def test_round_trip(docs, none):
     rows = bpe.round_trip(docs, PATH).collect()
     assert len(rows) == 13 and {r["decoded_sha256"] for r in rows if r["doc_id"] in (0, 1)} == {hashlib.sha256(b"").hexdigest()}

@@ -2,30 +2,30 @@
 
 A pair of bytes that stands inside no token of the vocabulary can never be
 merged across, so wherever such a pair occurs in a text the cut between its
-bytes is certain. Texts are cut there, the fragments are encoded independently
-(equal fragments once, as a worker keeps a bounded table of those it has seen)
-and their ids are concatenated. The result equals that of encoding the whole
-text, since every merge joins bytes of one fragment only.
-
-Two kinds of boundary are used. The end of a character that is no white space,
-followed by a blank, stands in no token (checked when a vocabulary is loaded);
-where such a blank is followed by a character that is no white space either, the
-pre-tokenizer starts a new piece too, so texts are cut there first. Inside a long unit every forbidden
-byte pair of its pieces cuts again. Short units that a worker has not seen are
-encoded together, laid end to end, and told apart by the blanks that only begin
-tokens.
+bytes is certain. The bytes of many new pieces of text are laid end to end and
+looked up in the table of such pairs at once; with the pre-tokenizer's own
+boundaries this gives the fragments, which are encoded independently (equal ones
+once, as a worker keeps a bounded table of those it has seen) and whose ids are
+concatenated. The result equals that of encoding the whole text, since every
+merge joins bytes of one fragment only.
+
+The end of a character that is no white space, followed by a blank, is such a
+boundary too (checked when a vocabulary is loaded); where the blank is followed
+by a character that is no white space either, the pre-tokenizer starts a new piece
+there. Texts are parted at these first, so that a word seen before is not cut up
+again; a word that is not in the table goes the way above.
 
 Both need the byte-level pre-tokenizer and plain merges that a vocabulary file
 states; a file that states anything else (a normalizer, another pattern,
 stripped or single-word added tokens) is encoded by the library text by text.
 
-Merges inside a fragment are done by a compiled merger (tiktoken) that is given
-the file's own vocabulary as ranks, where the file's merges are in the order of
-its ids; the ids equal those of the tokenizers library, to which tests hold them.
+Merges inside a fragment are those of the vocabulary's model, which the tokenizers
+library applies to one fragment at a time.
 
 Defined cases: null text counts as empty and gives no ids. A special token's
 literal string is one id, as the tokenizers library has it. Texts of any length
-are encoded whole. Repeated rows give equal rows; an empty table gives none.
+are encoded whole. Repeated rows give equal rows; an empty table gives none;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,10 @@ from .common import frugal
 #: A blank between two characters that are no white space; white space other than blanks and line ends.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n "]
-# Fixed value: the pieces into which a byte-level pre-tokenizer cuts.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longest unit that is kept in the table of seen ones, and that is encoded together with others.
+#: Words that need no pre-tokenizer; the kinds of their bytes: blank, letter, digit, sign.
+PLAIN = re.compile(r"[!-&(-~]+")
+KINDS = np.array([0 if b == 32 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)] + [3] * 128, np.uint8)
+#: Longest word that a worker keeps in its table of seen ones; longer ones are cut up anew.
 SHORT = 64
 
 
@@ -69,10 +71,14 @@ class _Seen:
         """Those of the units that have no ids yet; the others are in `new` afterwards."""
         if len(self.new) >= self.most:
             self.new, self.old = {}, self.new
-        wanted = units - self.new.keys()
-        known = wanted & self.old.keys()
-        self.new.update((u, self.old[u]) for u in known)
-        return list(wanted - known)
+        new, old, out = self.new, self.old, []
+        for u in units:
+            if u not in new:
+                if u in old:
+                    new[u] = old[u]
+                else:
+                    out.append(u)
+        return out
 
 
 class Codec:
@@ -84,7 +90,7 @@ class Codec:
         self.path, self.letters = path, byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.certain = self._is_byte_level(spec) and self._load(spec)
-        self.seen = _Seen(keep)
+        self.seen, self.parts = _Seen(keep), _Seen(keep)
 
     @functools.cached_property
     def library(self):
@@ -114,12 +120,12 @@ class Codec:
         for token in ids:
             for a, b in zip(token, token[1:]):
                 self.cut[a, b] = False
-        self.begins = np.array([t[:1] == b" " for t in self.bytes_of])
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        import tiktoken
+        self.plain, self.printed = (str.maketrans(t) for t in ({c: chr(b) for c, b in self.letters.items()}, {chr(b): c for c, b in self.letters.items()}))
+        self.blank = " ".translate(self.printed)
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        merger = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ids, special_tokens={})
-        self.whole, self.merged = merger.encode_ordinary, merger._core_bpe.encode_single_piece
+        self.pieces, self.merge = ByteLevel(add_prefix_space=False).pre_tokenize_str, self.library.model.tokenize
         return True
 
     @staticmethod
@@ -137,41 +143,63 @@ class Codec:
         at = (np.flatnonzero(self.cut[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def _long(self, unit: str) -> bytes:
-        """Ids, packed, of a long stretch of text that begins and ends at certain boundaries."""
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        known: dict[bytes, list[int]] = {}
-        ids: list[int] = []
-        for word, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(unit):
-            for f in self.fragments(bytes(map(self.letters.__getitem__, word))):
-                if f not in known:
-                    known[f] = self.merged(f) if len(f) <= 4 * SHORT else [t.id for t in self.library.model.tokenize(self._printed(f))]
-                ids += known[f]
-        return np.array(ids, "<u4").tobytes()
-
-    def _printed(self, data: bytes) -> str:
-        back = {b: c for c, b in self.letters.items()}
-        return "".join(back[b] for b in data)
+    def cut_up(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """Fragments of a text that begins and ends at certain boundaries, all its pieces at once, and the first byte of each."""
+        words = [w for w, _ in self.pieces(text)]
+        data = "".join(words).translate(self.plain).encode("latin-1")
+        inner = np.zeros(max(0, len(data) - 1), bool)
+        inner[np.cumsum([len(w) for w in words[:-1]], dtype=np.int64) - 1] = True
+        return self._cut(data, inner)
+
+    def cut_plain(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """cut_up() of words of printable ASCII without apostrophes, parted by single blanks: there a piece ends where letters, digits and signs change."""
+        data = text.encode("ascii")
+        kind = KINDS[np.frombuffer(data, np.uint8)]
+        return self._cut(data, (kind[1:] != kind[:-1]) & (kind[:-1] != 0))
+
+    def _cut(self, data: bytes, pieces: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The bytes, cut at the ends of pieces and at every byte pair that no token holds."""
+        b = np.frombuffer(data, np.uint8)
+        at = np.concatenate([[0], np.flatnonzero(pieces | self.cut[b[:-1], b[1:]]) + 1])
+        places = at.tolist()
+        return [data[i:j] for i, j in zip(places, [*places[1:], len(data)])], b[at]
+
+    def merged(self, fragment: bytes) -> bytes:
+        """Ids, packed, of one fragment by the vocabulary's merges."""
+        letters = fragment.decode("latin-1")
+        letters = letters.replace(" ", self.blank) if letters.isprintable() and letters.isascii() else letters.translate(self.printed)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _packed(self, found: list[bytes]) -> list[bytes]:
+        """Packed ids of each fragment."""
+        new = self.parts.missing(set(found))
+        table = self.parts.new
+        for f in new:
+            table[f] = self.merged(f)
+        out = list(map(table.__getitem__, found))
+        for f in new:
+            if len(f) > SHORT:
+                del table[f]
+        return out
 
     def _learn(self, units: list[str]) -> None:
-        """Ids of new units, each led by its blank."""
-        table, together = self.seen.new, []
+        """Ids of new words, each led by its blank, many at a time; the blanks begin the words."""
+        table, plain, other = self.seen.new, [], []
         for u in units:
-            if len(u) <= SHORT and " " not in u and not u[-1].isspace():
-                together.append(u)
+            if PLAIN.fullmatch(u):
+                plain.append(u)
+            elif " " not in u and not u[-1].isspace():
+                other.append(u)
             else:
-                table[u] = self._long(" " + u)
-        for at in range(0, len(together), 4096):
-            some = together[at : at + 4096]
-            ids = np.array(self.whole(" " + " ".join(some)), "<u4")
-            first = np.flatnonzero(self.begins[ids])
-            assert len(first) == len(some)
-            ends = (4 * np.append(first[1:], len(ids))).tolist()
-            data, begin = ids.tobytes(), 0
-            for u, end in zip(some, ends):
-                table[u] = data[begin:end]
-                begin = end
+                table[u] = b"".join(self._packed(self.cut_up(" " + u)[0]))
+        for cut, own in ((self.cut_plain, plain), (self.cut_up, other)):
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                found, first = cut(" " + " ".join(some))
+                ids, begin = self._packed(found), np.flatnonzero(first == 32).tolist()
+                assert len(begin) == len(some)
+                for u, i, j in zip(some, begin, [*begin[1:], len(ids)]):
+                    table[u] = ids[i] if j - i == 1 else b"".join(ids[i:j])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit numbers."""
@@ -195,7 +223,10 @@ class Codec:
         for plan in plans:
             parts = []
             for special, first, units in plan:
-                parts.append(np.array([self.special[special]] if special is not None else self.whole(first) if len(first) <= SHORT else [], "<u4").tobytes() or self._long(first))
+                if special is not None:
+                    parts.append(np.array([self.special[special]], "<u4").tobytes())
+                elif first:
+                    parts += self._packed((self.cut_plain if PLAIN.fullmatch(first) else self.cut_up)(first)[0])
                 parts += map(ids_of, units)
             out.append(np.frombuffer(b"".join(parts), "<u4"))
         for u in [u for u in every if len(u) > SHORT]:
