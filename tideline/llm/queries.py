@@ -31,7 +31,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.compare_neighbours(table(spark, sf_dir, "documents"), max(8, partitions(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return winnow.compare_neighbours(docs, max(8, partitions(spark), docs.rdd.getNumPartitions()))  # ranges grow with the files read
 
 
 def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ two fingerprints' sets of hashes.
 Defined cases: null text counts as empty; an empty text has an empty
 fingerprint, alike (1.0) to another empty one and unlike (0.0) to all else. A
 text shorter than k has one entry, the hash of all of it. Texts follow each
-other by ascending id, nulls first, equal ids by text; the last is followed by
-the first.
+other by ascending id, nulls first, equal ids by a hash of the text; the last is
+followed by the first, a lone one by itself. Ids may be of any type that has an
+order. Repeated rows are rows of their own. Texts of any length count whole;
+other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import frugal, materialize, mix64
 
 K, WINDOW = 16, 64
 BASE = 0x9E3779B97F4A7C15
@@ -72,28 +74,37 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+KEY = "_key"
+
+
+def edges(keys: DataFrame, parts: int) -> DataFrame:
+    """One row: the first keys of at most `parts` ranges of about equal size, in order, an array of one entry a range."""
+    laid = keys.repartitionByRange(parts, KEY).groupBy(F.spark_partition_id()).agg(F.min(KEY).alias(KEY))
+    return laid.agg(F.array_sort(F.collect_list(KEY)).alias("_edges"))
+
+
+def span_of(key: Column, firsts: Column, parts: int) -> Column:
+    """The last range that begins at or before a key: its number, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in range(parts.bit_length(), -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < F.size(firsts)) & (F.get(firsts, at + step) <= key), at + step).otherwise(at))
+
+
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """docs in ranges of ascending id, a range a partition; each range ends with the next one's first rows.
 
-    Only the ranges' first ids go to the driver, one for each partition. Columns added:
+    The key is the id and a hash of the text, so that rows of one id, or without one, fall into
+    many ranges. Only the ranges' first keys are gathered, one for each partition. Columns added:
     span (the range) and guest (true for the rows that stand in both).
     """
-    ids = docs.select("doc_id").where("doc_id is not null")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    span = F.lit(0)
-    if cuts:
-        edges = F.array(*(F.lit(float(c)) for c in cuts))
-        span = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
-    placed = docs.withColumn("span", span)
-    heads = {r["span"]: r["first"] for r in placed.groupBy("span").agg(F.when(F.count("doc_id") == F.count("*"), F.min("doc_id")).alias("first")).collect()}
-    order = sorted(heads)
-    before = {a: b for a, b in zip(order, [order[-1], *order[:-1]])} if order else {}
-    copies = F.array(F.struct(F.col("span").alias("span"), F.lit(False).alias("guest")))
-    for own, first in heads.items():
-        same = F.col("doc_id").isNull() if first is None else F.col("doc_id") == F.lit(first)
-        copies = F.when((F.col("span") == own) & same, F.array(F.struct(F.lit(own).alias("span"), F.lit(False).alias("guest")), F.struct(F.lit(before[own]).alias("span"), F.lit(True).alias("guest")))).otherwise(copies)
-    dealt = placed.select(*docs.columns, F.explode(copies).alias("at")).select(*docs.columns, "at.span", "at.guest")
-    return dealt.repartitionByRange(max(1, len(order)), "span").sortWithinPartitions("span", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    keyed = docs.withColumn(KEY, F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    found = materialize(edges(keyed.select(KEY), parts), "edges")  # one row
+    placed = keyed.join(F.broadcast(found), F.lit(True)).withColumn("span", span_of(F.col(KEY), F.col("_edges"), parts))
+    last = F.size("_edges") - 1
+    here, before = (F.struct(n.alias("span"), F.lit(g).alias("guest")) for n, g in ((F.col("span"), False), (F.when(F.col("span") == 0, last).otherwise(F.col("span") - 1), True)))
+    copies = F.when(F.get("_edges", F.col("span")) == F.col(KEY), F.array(here, before)).otherwise(F.array(here))
+    dealt = placed.select(*docs.columns, KEY, F.explode(copies).alias("at")).select(*docs.columns, KEY, "at.span", "at.guest")
+    # of a range's guests one is enough: the first of the next range
+    return dealt.repartitionByRange(parts, "span").sortWithinPartitions("span", "guest", KEY, "text")
 
 
 def compare_neighbours(docs: DataFrame, parts: int, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -101,7 +112,7 @@ def compare_neighbours(docs: DataFrame, parts: int, k: int = K, window: int = WI
 
     The edited text has the last quarter of the code points replaced by the next text's first as many.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
 
     def row(own, after) -> tuple:
         key, text, prints = own
@@ -111,22 +122,24 @@ def compare_neighbours(docs: DataFrame, parts: int, k: int = K, window: int = WI
         digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
         return key, len(text), digest, as_string(prints), as_string(other), likeness(prints, other), likeness(prints, after[2])
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, span, ended = None, None, False
         for frame in frames:
             rows = []
-            for key, text, at, guest in zip(frame["doc_id"], frame["text"], frame["span"], frame["guest"]):
+            for key, text, at, guest in zip(frame["id"], frame["text"], frame["span"], frame["guest"]):
                 if at != span:
                     last, span, ended = None, at, False
                 if ended:
                     continue
                 text = text or ""
-                own = (None if pd.isna(key) else key, text, fingerprint(text, k, window))
+                own = (key, text, fingerprint(text, k, window))
                 if last is not None:
                     rows.append(row(last, own))
                 last, ended = own, guest
             for at in range(0, len(rows), 2000):
-                yield pd.DataFrame(rows[at : at + 2000], columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield pd.DataFrame(rows[at : at + 2000], columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = in_order(docs.select("doc_id", "text"), parts)
-    return dealt.mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = in_order(docs.select("doc_id", "text"), parts).select(F.col("doc_id").cast("string").alias("id"), "text", "span", "guest")
+    out = dealt.mapInPandas(run, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.select(F.col("id").cast(kind).alias("doc_id"), *out.columns[1:])
