@@ -94,3 +94,15 @@ def test_no_candidates_and_no_places(spark):
     assert plan.select_portfolio(empty, corr, config.load()).count() == 0
     crisis = spark.createDataFrame([("us", "CRISIS", "A", 90.0, True, False, "", 1.0, 1.0, 1.0, "x")], FIELDS)
     assert plan.select_portfolio(crisis, corr, config.load()).first()["skip_reason"] == "max 0 positions in CRISIS"
+
+
+@pytest.mark.parametrize("name", ["trade_plan", "plan_flags", "eligibility", "account_limits"])
+def test_plans_compile(spark, name):
+    """Without Spark's fall-back to interpretation a plan whose code grows beyond what the JVM takes is an error."""
+    from tideline.plans import catalogue
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")

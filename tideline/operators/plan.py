@@ -38,21 +38,29 @@ def unit_value(market: Column, cfg: dict) -> Column:
     return by_key(market, {m: unit_aed(cfg, m) for m in cfg["markets"]}, cfg["usd_aed"])
 
 
+def bound(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with the values as columns that are worked out once: a generator of one row stands between them and what reads them, so no expression is written out again in each that uses it."""
+    kept = [c for c in rows.columns if c not in values]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in values.items())))))
+
+
 def planned(rows: DataFrame, cfg: dict) -> DataFrame:
     """Entry, stop, targets, size, cost and flags of candidates (setup, regime, size_mult); all null where there is no valid plan."""
     rk, capital = cfg["risk"], float(cfg["capital_aed"])
     c, atr = F.col("close"), F.col("atr")
     kind, market = by_key(F.col("setup"), {k: v[0] for k, v in SETUPS.items()}, "none"), F.col("market")
     entry = F.when((kind == "squeeze") & F.col("donch20_hi").isNotNull(), F.greatest(c, F.col("donch20_hi") + 0.1 * atr)).when((kind == "pullback") & F.col("ema21").isNotNull(), F.least(c, F.greatest(F.col("ema21"), c - 0.5 * atr))).otherwise(c)
-    out = rows.withColumns({"kind": kind, "hold_days": by_key(F.col("setup"), {k: v[1] for k, v in SETUPS.items()}, 0), "unit": unit_value(market, cfg), "entry": F.when((c > 0) & (atr > 0), entry)})
+    out = bound(rows, setup=F.col("setup"), atr=atr, size_mult=F.col("size_mult"), ema21=F.col("ema21"), donch20_hi=F.col("donch20_hi"))
+    out = bound(out, kind=kind, hold_days=by_key(F.col("setup"), {k: v[1] for k, v in SETUPS.items()}, 0), unit=unit_value(market, cfg), entry=F.when((c > 0) & (atr > 0), entry))
     low = F.least(F.col("entry") - rk["stop_atr"] * atr, F.col("swing_low10") - 0.25 * atr)  # least() skips a null swing low
-    out = out.withColumn("stop", F.when(F.col("entry").isNotNull(), F.greatest(low, F.col("entry") - rk["max_stop_atr"] * atr)))
+    out = bound(out, stop=F.when(F.col("entry").isNotNull(), F.greatest(low, F.col("entry") - rk["max_stop_atr"] * atr)))
     out = out.withColumn("r", F.when(F.col("entry") - F.col("stop") > 0, F.col("entry") - F.col("stop")))
     out = out.withColumn("risk_pct", by_key(F.col("regime"), rk["per_trade_pct"], 0.0) * F.col("size_mult"))
     raw = ratio(capital * F.col("risk_pct") / 100 / F.col("unit"), F.col("r"))
     cap = capital * rk["max_position_pct"] / 100
-    out = out.withColumn("raw_units", raw).withColumn("capped", F.col("raw_units") * F.col("entry") * F.col("unit") > cap)
-    out = out.withColumn("units", units_of(F.when(F.col("capped"), cap / (F.col("entry") * F.col("unit"))).otherwise(F.col("raw_units")), market, cfg))
+    out = bound(out, r=F.col("r"), risk_pct=F.col("risk_pct"), raw_units=raw)
+    out = out.withColumn("capped", F.col("raw_units") * F.col("entry") * F.col("unit") > cap)
+    out = bound(out, capped=F.col("capped"), units=units_of(F.when(F.col("capped"), cap / (F.col("entry") * F.col("unit"))).otherwise(F.col("raw_units")), market, cfg))
     ok = F.col("r").isNotNull()
     out = out.withColumns({
         "pos_native": F.col("units") * F.col("entry"), "pos_aed": F.col("units") * F.col("entry") * F.col("unit"), "risk_aed": F.col("units") * F.col("r") * F.col("unit"),
