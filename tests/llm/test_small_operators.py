@@ -153,6 +153,25 @@ def test_winnow_order(docs, none):
     assert winnow.compare_neighbours(docs, 4).count() == 13 and winnow.compare_neighbours(none, 4).count() == 0
 
 
+def test_winnow_order_of_any_ids(spark):
+    """String ids, ids and texts that repeat, rows without an id, one row: each text meets the next of the stated order."""
+    rng = random.Random(4)
+    rows = [(f"k{i % 17:02d}" if i % 5 else None, prose(rng.randint(0, 30), i)) for i in range(60)] + [("k01", "same text here")] * 5 + [(None, None), ("k99", "x " * 5000)]
+    docs = spark.createDataFrame([(t, d, 1, "e") for d, t in rows], "text string, doc_id string, span int, guest string").repartition(5)
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or "", r["h"]))
+    want = []
+    for row, after in zip(order, order[1:] + order[:1]):
+        text, more = row["text"] or "", after["text"] or ""
+        q = len(text) // 4
+        want.append((row["doc_id"], len(text), hashlib.sha256((text[: len(text) - q] + more[:q]).encode()).hexdigest()))
+    for parts in (1, 6):
+        got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in winnow.compare_neighbours(docs, parts).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    one = winnow.compare_neighbours(docs.where("doc_id = 'k99'"), 4).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(3)
     value = np.arange(1, 61, dtype=np.uint64)
