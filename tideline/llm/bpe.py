@@ -47,9 +47,9 @@ from .common import frugal
 #: A blank between two characters that are no white space; white space other than blanks and line ends.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n "]
-#: Words that need no pre-tokenizer; the kinds of their bytes: blank, letter, digit, sign.
-PLAIN = re.compile(r"[!-&(-~]+")
-KINDS = np.array([0 if b == 32 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)] + [3] * 128, np.uint8)
+#: Words that need no pre-tokenizer: printable ASCII without apostrophes and Latin letters; the kinds of their bytes: blank, letter, digit, sign.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+KINDS = np.array([0 if b == 32 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)] + [1] * 128, np.uint8)
 #: Longest word that a worker keeps in its table of seen ones; longer ones are cut up anew.
 SHORT = 64
 
@@ -71,14 +71,12 @@ class _Seen:
         """Those of the units that have no ids yet; the others are in `new` afterwards."""
         if len(self.new) >= self.most:
             self.new, self.old = {}, self.new
-        new, old, out = self.new, self.old, []
-        for u in units:
-            if u not in new:
-                if u in old:
-                    new[u] = old[u]
-                else:
-                    out.append(u)
-        return out
+        new, old = self.new, self.old
+        absent = [u for u in units if u not in new]
+        if not old:
+            return absent
+        new.update((u, old[u]) for u in absent if u in old)
+        return [u for u in absent if u not in old]
 
 
 class Codec:
@@ -152,8 +150,8 @@ class Codec:
         return self._cut(data, inner)
 
     def cut_plain(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """cut_up() of words of printable ASCII without apostrophes, parted by single blanks: there a piece ends where letters, digits and signs change."""
-        data = text.encode("ascii")
+        """cut_up() of PLAIN words, parted by single blanks: there a piece ends where letters, digits and signs change."""
+        data = text.encode()
         kind = KINDS[np.frombuffer(data, np.uint8)]
         return self._cut(data, (kind[1:] != kind[:-1]) & (kind[:-1] != 0))
 
