@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import bagminhash, langid_cnn, packing, secrets_forest, suffix_dedup
-from tideline.llm.common import apart, materialize, mod_of_id
+from tideline.llm.common import apart, forget, materialize, mod_of_id
 from tideline.llm.queries import byte_bpe
 
 #: A document goes if its text has no letter or no language reaches this score (four even chances give 0.25).
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)  # what a stage wrote goes once the next has written
     return STAGES[-1][1](spark, docs, sf_dir)
