@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import FUNDAMENTAL, GROUPS, SENTIMENT, TECHNICAL
-from ..functions.ranking import medians
 from ..functions.kernels import clip, guarded_corr, pct_rank, ratio, weighted_mean, zscore
+from ..functions.ranking import medians
+from ..storage import stored
 
 DAY = ("market", "date")
 
@@ -116,6 +117,7 @@ def blended(base: Column, prob: Column, share: float = 0.30) -> Column:
 def deciles(scored: DataFrame, least: int = 200) -> DataFrame:
     """Forward returns by decile of comp_rank; no rows with fewer than `least` labelled ones."""
     both = scored.where("comp_rank is not null and fwd_ret is not null").select("market", "fwd_ret", (F.floor(F.least(F.col("comp_rank") * 10, F.lit(9.999))) + 1).cast("int").alias("decile"))
+    both = stored(both, "deciles")  # three columns, read by the means and by the medians
     out = both.groupBy("market", "decile").agg((F.avg("fwd_ret") * 100).alias("mean_pct"), F.avg((F.col("fwd_ret") > 0).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
     middle = medians(both, ["market", "decile"], "fwd_ret").select("market", "decile", (100 * F.col("median")).alias("median_pct"))
     out = out.join(middle, ["market", "decile"])
