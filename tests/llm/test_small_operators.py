@@ -76,6 +76,20 @@ def test_real_texts_are_cut_at_byte_pairs():
     assert calls["words"] >= len({w for t in texts for w in (t or "").split()}) / 2
 
 
+def test_plain_texts_are_cut_in_one_pass():
+    """Line ends, white space in runs and contractions need no pre-tokenizer, and a batch of texts is cut at once."""
+    library, codec = Tokenizer.from_file(PATH), bpe.Codec(PATH)
+    rng, calls = random.Random(9), Counter()
+    cut, pieces = codec.cut_plain, codec.pieces
+    codec.cut_plain = lambda text: calls.update(cut=1) or cut(text)
+    codec.pieces = lambda text: calls.update(pieces=1) or pieces(text)
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "\n \n", "é", "'s", "'S", "'re", "'ll", "'v", "'", "1", "23", "...", ",", "_", "Ab"]
+    texts = ["x" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) + "." for _ in range(400)] + ["'s", "x'd", "a\n's it's't"]
+    got = codec.encode_all(texts)
+    assert [i.tolist() for i in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert calls == {"cut": 1}
+
+
 def test_fragments_merge_by_the_ranks_of_the_file():
     """Pair of least rank, leftmost first, one at a time; and a text's fragments give the ids of the text."""
     spec = json.load(open(PATH, encoding="utf-8"))["model"]

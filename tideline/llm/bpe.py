@@ -9,11 +9,15 @@ once, as a worker keeps a bounded table of those it has seen) and whose ids are
 concatenated. The result equals that of encoding the whole text, since every
 merge joins bytes of one fragment only.
 
-The end of a character that is no white space, followed by a blank, is such a
-boundary too (checked when a vocabulary is loaded); where the blank is followed
-by a character that is no white space either, the pre-tokenizer starts a new piece
-there. Texts are parted at these first, so that a word seen before is not cut up
-again; a word that is not in the table goes the way above.
+Texts of printable ASCII, blanks, line ends and Latin letters are cut as they are,
+all texts of a batch at once: there the pre-tokenizer's boundaries are known from a
+table of byte pairs too, but for runs of white space and contractions, which are mended.
+
+In other texts the end of a character that is no white space, followed by a blank, is
+a certain boundary too (checked when a vocabulary is loaded); where the blank is
+followed by a character that is no white space either, the pre-tokenizer starts a new
+piece there. These texts are parted at such blanks first, so that a word seen before is
+not cut up again; a word that is not in the table goes the way above.
 
 Both need the byte-level pre-tokenizer and plain merges that a vocabulary file
 states; a file that states anything else (a normalizer, another pattern,
@@ -36,7 +40,8 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,9 +52,12 @@ from .common import frugal
 #: A blank between two characters that are no white space; white space other than blanks and line ends.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n "]
-#: Words that need no pre-tokenizer: printable ASCII without apostrophes and Latin letters; the kinds of their bytes: blank, letter, digit, sign.
-PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-KINDS = np.array([0 if b == 32 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)] + [1] * 128, np.uint8)
+#: Texts that need no pre-tokenizer: printable ASCII and Latin letters, blanks and line ends between them; the kinds of their bytes: blank, letter, digit, sign, line end.
+SOLID = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(f"[{SOLID}](?:[ \n{SOLID}]*[{SOLID}])?")
+KINDS = np.array([0 if b == 32 else 4 if b == 10 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)] + [1] * 128, np.uint8)
+#: What the pre-tokenizer cuts off where a piece begins with an apostrophe: behind a letter, a digit or a line end.
+CONTRACTION = re.compile(rb"(?:\A|(?<=[A-Za-z0-9\n\x80-\xff]))'(?:[stmd]|re|ve|ll)")
 #: Longest word that a worker keeps in its table of seen ones; longer ones are cut up anew.
 SHORT = 64
 
@@ -67,16 +75,25 @@ class _Seen:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, units: set[str]) -> list[str]:
-        """Those of the units that have no ids yet; the others are in `new` afterwards."""
+    def ids(self, units: list[str], learn: Callable[[list[str]], None]) -> list[bytes]:
+        """Packed ids of each unit; learn puts those that are not kept into `new`, from where long ones go again."""
         if len(self.new) >= self.most:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        absent = [u for u in units if u not in new]
-        if not old:
-            return absent
-        new.update((u, old[u]) for u in absent if u in old)
-        return [u for u in absent if u not in old]
+        got = list(map(new.get, units))
+        holes = [i for i, ids in enumerate(got) if ids is None]
+        absent = {units[i] for i in holes}
+        unknown = list(absent.difference(old))
+        kept = absent.difference(unknown)
+        new.update(zip(kept, map(old.__getitem__, kept)))
+        if unknown:
+            learn(unknown)
+        for i in holes:
+            got[i] = new[units[i]]
+        for u in unknown:
+            if len(u) > SHORT:
+                del new[u]
+        return got
 
 
 class Codec:
@@ -88,7 +105,7 @@ class Codec:
         self.path, self.letters = path, byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.certain = self._is_byte_level(spec) and self._load(spec)
-        self.seen, self.parts = _Seen(keep), _Seen(keep)
+        self.seen, self.parts = _Seen(keep), _Seen(2 * keep)
 
     @functools.cached_property
     def library(self):
@@ -119,8 +136,10 @@ class Codec:
             for a, b in zip(token, token[1:]):
                 self.cut[a, b] = False
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.plain, self.printed = (str.maketrans(t) for t in ({c: chr(b) for c, b in self.letters.items()}, {chr(b): c for c, b in self.letters.items()}))
-        self.blank = " ".translate(self.printed)
+        self.ends = (self.cut | (KINDS[:, None] != KINDS) & (KINDS[:, None] != 0)).ravel()
+        self.printed, self.byte = np.zeros(256, "<u2"), np.zeros(1 + max(map(ord, self.letters)), np.uint8)
+        for c, b in self.letters.items():
+            self.printed[b], self.byte[ord(c)] = ord(c), b
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.pieces, self.merge = ByteLevel(add_prefix_space=False).pre_tokenize_str, self.library.model.tokenize
@@ -141,94 +160,96 @@ class Codec:
         at = (np.flatnonzero(self.cut[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def cut_up(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """Fragments of a text that begins and ends at certain boundaries, all its pieces at once, and the first byte of each."""
+    def cut_up(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Fragments, in printed letters, of a text that begins and ends at certain boundaries, all its pieces at once; where each begins and its first byte."""
         words = [w for w, _ in self.pieces(text)]
-        data = "".join(words).translate(self.plain).encode("latin-1")
-        inner = np.zeros(max(0, len(data) - 1), bool)
-        inner[np.cumsum([len(w) for w in words[:-1]], dtype=np.int64) - 1] = True
-        return self._cut(data, inner)
+        b = self.byte[np.frombuffer("".join(words).encode("utf-16-le"), "<u2")]
+        cut = _of_pairs(self.cut.ravel(), b)
+        cut[np.cumsum([len(w) for w in words[:-1]], dtype=np.int64) - 1] = True
+        return self._parted(b, cut)
 
-    def cut_plain(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """cut_up() of PLAIN words, parted by single blanks: there a piece ends where letters, digits and signs change."""
+    def cut_plain(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """cut_up() of a PLAIN text, or of one with a blank or a line end before it."""
         data = text.encode()
-        kind = KINDS[np.frombuffer(data, np.uint8)]
-        return self._cut(data, (kind[1:] != kind[:-1]) & (kind[:-1] != 0))
-
-    def _cut(self, data: bytes, pieces: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The bytes, cut at the ends of pieces and at every byte pair that no token holds."""
         b = np.frombuffer(data, np.uint8)
-        at = np.concatenate([[0], np.flatnonzero(pieces | self.cut[b[:-1], b[1:]]) + 1])
-        places = at.tolist()
-        return [data[i:j] for i, j in zip(places, [*places[1:], len(data)])], b[at]
+        cut = _of_pairs(self.ends, b)  # a piece ends where letters, digits, signs and white space change
+        space = (b == 32) | (b == 10)
+        both = np.flatnonzero(space[:-1] & space[1:])
+        cut[both] = ~space[both + 2]  # of a run of white space only the last stands apart, or before the word
+        if "'" in text:
+            for m in CONTRACTION.finditer(data):
+                cut[m.start()] = False
+                cut[m.end() - 1 : m.end()] = True
+        return self._parted(b, cut)
+
+    def _parted(self, b: np.ndarray, cut: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        at = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        places, letters = at.tolist(), self._letters(b)
+        return [letters[i:j] for i, j in zip(places, [*places[1:], len(letters)])], at, b[at]
+
+    def _letters(self, b: np.ndarray) -> str:
+        return self.printed[b].tobytes().decode("utf-16-le")
 
     def merged(self, fragment: bytes) -> bytes:
         """Ids, packed, of one fragment by the vocabulary's merges."""
-        letters = fragment.decode("latin-1")
-        letters = letters.replace(" ", self.blank) if letters.isprintable() and letters.isascii() else letters.translate(self.printed)
+        return self._merged(self._letters(np.frombuffer(fragment, np.uint8)))
+
+    def _merged(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
-    def _packed(self, found: list[bytes]) -> list[bytes]:
+    def _packed(self, found: list[str]) -> list[bytes]:
         """Packed ids of each fragment."""
-        new = self.parts.missing(set(found))
-        table = self.parts.new
-        for f in new:
-            table[f] = self.merged(f)
-        out = list(map(table.__getitem__, found))
-        for f in new:
-            if len(f) > SHORT:
-                del table[f]
-        return out
+        return self.parts.ids(found, lambda new: self.parts.new.update(zip(new, map(self._merged, new))))
 
     def _learn(self, units: list[str]) -> None:
         """Ids of new words, each led by its blank, many at a time; the blanks begin the words."""
         table, plain, other = self.seen.new, [], []
         for u in units:
-            if PLAIN.fullmatch(u):
-                plain.append(u)
-            elif " " not in u and not u[-1].isspace():
-                other.append(u)
-            else:
+            if " " in u or u[-1].isspace():
                 table[u] = b"".join(self._packed(self.cut_up(" " + u)[0]))
+            else:
+                (plain if PLAIN.fullmatch(u) else other).append(u)
         for cut, own in ((self.cut_plain, plain), (self.cut_up, other)):
             for at in range(0, len(own), 4096):
                 some = own[at : at + 4096]
-                found, first = cut(" " + " ".join(some))
+                found, _, first = cut(" " + " ".join(some))
                 ids, begin = self._packed(found), np.flatnonzero(first == 32).tolist()
                 assert len(begin) == len(some)
-                for u, i, j in zip(some, begin, [*begin[1:], len(ids)]):
-                    table[u] = ids[i] if j - i == 1 else b"".join(ids[i:j])
+                table.update(zip(some, [ids[i] if j - i == 1 else b"".join(ids[i:j]) for i, j in zip(begin, [*begin[1:], len(ids)])]))
+
+    def _plain_ids(self, runs: list[str]) -> Iterator[bytes]:
+        """Packed ids of PLAIN texts, laid end to end with a line end, which is a piece of its own, between them."""
+        if runs:
+            found, at, _ = self.cut_plain("\n".join(runs))
+            ids = self._packed(found)
+            sizes = np.array([len(r) if r.isascii() else len(r.encode()) for r in runs])
+            begin = np.searchsorted(at, np.cumsum(sizes + 1) - sizes - 1).tolist()
+            for i, j in zip(begin, [*(k - 1 for k in begin[1:]), len(ids)]):
+                yield b"".join(ids[i:j])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit numbers."""
         if not self.certain:
             return [np.array(self.library.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
-        plans: list[list[tuple[str | None, str, list[str]]]] = []
-        every: set[str] = set()
-        for text in texts:
-            plan = []
-            for k, run in enumerate(self.marks.split(text) if text and self.marks else [text or ""]):
+        runs = [self.marks.split(text) if text and self.marks else [text or ""] for text in texts]  # every second one is a special token
+        plain = [[bool(PLAIN.fullmatch(run)) for run in own[::2]] for own in runs]
+        plain_ids = self._plain_ids([run for own, known in zip(runs, plain) for run, is_plain in zip(own[::2], known) if is_plain])
+        words = [BETWEEN.split(run) for own, known in zip(runs, plain) for run, is_plain in zip(own[::2], known) if run and not is_plain]
+        units = [u for _, *rest in words for u in rest]
+        word_ids, first = iter(self.seen.ids(units, self._learn)), iter(words)
+        out = []
+        for own, known in zip(runs, plain):
+            parts: list[bytes] = []
+            for k, run in enumerate(own):
                 if k % 2:
-                    plan.append((run, "", []))
+                    parts.append(np.array([self.special[run]], "<u4").tobytes())
+                elif known[k // 2]:
+                    parts.append(next(plain_ids))
                 elif run:
-                    plainly = not (run[0].isspace() or run[-1].isspace() or any(x in run for x in OTHER_SPACE))
-                    first, *units = run.split(" ") if plainly else BETWEEN.split(run)
-                    every.update(units)
-                    plan.append((None, first, units))
-            plans.append(plan)
-        self._learn(self.seen.missing(every))
-        ids_of, out = self.seen.new.__getitem__, []
-        for plan in plans:
-            parts = []
-            for special, first, units in plan:
-                if special is not None:
-                    parts.append(np.array([self.special[special]], "<u4").tobytes())
-                elif first:
-                    parts += self._packed((self.cut_plain if PLAIN.fullmatch(first) else self.cut_up)(first)[0])
-                parts += map(ids_of, units)
+                    lead, *rest = next(first)
+                    parts += self._packed(self.cut_up(lead)[0])
+                    parts += islice(word_ids, len(rest))
             out.append(np.frombuffer(b"".join(parts), "<u4"))
-        for u in [u for u in every if len(u) > SHORT]:
-            del self.seen.new[u]
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -245,6 +266,15 @@ class Codec:
         return ",".join(map(self.decimal.__getitem__, ids.tolist())) if self.certain else ",".join(map(str, ids.tolist()))
 
 
+def _of_pairs(table: np.ndarray, b: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The table's entry for each two neighbouring bytes, some MB of indices at a time."""
+    out = np.empty(max(0, len(b) - 1), bool)
+    for i in range(0, len(out), block):
+        part = b[i : i + block + 1].astype(np.intp)
+        out[i : i + block] = table[part[:-1] * 256 + part[1:]]
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """A worker's codec for a vocabulary file; the file is read where the task runs."""
