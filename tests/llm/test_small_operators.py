@@ -419,6 +419,29 @@ def test_copies_do_not_fill_samples(spark):
     assert (got, langs) == langid_cnn.training_sample(docs.repartition(9), F.lit(True), per_lang=15)
 
 
+def test_forest_learns_from_all_findings(spark, monkeypatch):
+    """Beyond some thousand findings a label too: each counts in the dictionary, trains the forest and sets its thresholds."""
+    n = 12000
+    word = F.translate(F.format_string("%05d", "id"), "0123456789", "abcdefghij")
+    value = F.substr(F.sha1(F.col("id").cast("string")), F.lit(1), F.lit(20))
+    found = spark.range(n).select(value.alias("value"), word.alias("before"), value.alias("word"), F.lit("").alias("prefix"), (F.col("id") % 2 == 0).alias("label"))
+    learnt = []
+    monkeypatch.setattr(secrets_forest.Pipeline, "fit", lambda self, rows: learnt.append((rows.count(), self.getStages()[-1].getMaxBins())))
+    _, words, _ = secrets_forest.fit(found.union(found), dictionary=n)
+    assert len(words) == n // 2 and learnt[0][0] == n and learnt[0][1] ** 2 >= n
+    secrets_forest.fit(found.limit(50), labelled=found)
+    assert learnt[1][0] == n
+
+
+def test_forest_of_many_rows_hangs_on_no_dealing(spark):
+    """Over 10000 findings train in several tasks, alike however they are dealt."""
+    every = secrets_forest.examples(spark, 11000).persist()
+    (model, *seen), (again, *same) = (secrets_forest.fit(rows, labelled=rows, trees=3) for rows in (every, every.repartition(9)))
+    assert seen == same and model.stages[-1].toDebugString.split("\n")[1:] == again.stages[-1].toDebugString.split("\n")[1:]
+    said = secrets_forest.judged(every, model, *seen).select("label", (F.col("probability") >= 0.5).alias("said"))
+    assert said.where("label = said").count() >= 0.9 * every.count() > 9000
+
+
 def test_redaction_without_ids(spark):
     rng = random.Random(6)
     secret = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "7a" for _ in range(60)]
